@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packstrata.operators.skew import hot_bounds, tile_of
+from packstrata.session import Scratch
 
 
-def periods_and_gaps(df: DataFrame, keys: list[str], lo: str, hi: str, floor: int | None = None, tiles: int | None = None) -> DataFrame:
+def periods_and_gaps(df: DataFrame, keys: list[str], lo: str, hi: str, floor: int | None = None, tiles: int | None = None, probe: DataFrame | None = None) -> DataFrame:
     """Maximal continuous ranges (kind 'run') and the holes between them (kind 'gap').
 
     Starts and ends are ranked independently per entity. Where the start of
@@ -19,14 +20,17 @@ def periods_and_gaps(df: DataFrame, keys: list[str], lo: str, hi: str, floor: in
 
     The ranks of an entity with very many intervals are built over tiles of its
     value range: a running count within each tile plus the total of the tiles
-    before it, so no entity needs to fit a task.
+    before it, so no entity needs to fit a task. ``probe``, of the same columns,
+    is where such entities and cut points are looked for if it is cheaper to
+    read than ``df``; any superset of its rows will do.
 
     Intervals are half-open [lo, hi) over longs; touching ones are continuous.
     Rows with a null key, lo or hi, or lo >= hi cover nothing and are ignored.
     Returns keys, kind, from_off, to_off.
     """
-    rows = df.select(*keys, F.col(lo).cast("long").alias("_lo"), F.col(hi).cast("long").alias("_hi")).dropna().where("_lo < _hi")
-    cuts = hot_bounds(rows, keys, {"_los": F.col("_lo"), "_his": F.col("_hi")}, floor, tiles)
+    narrow = lambda x: x.select(*keys, F.col(lo).cast("long").alias("_lo"), F.col(hi).cast("long").alias("_hi")).dropna().where("_lo < _hi")
+    rows = narrow(df)
+    cuts = hot_bounds(rows if probe is None else narrow(probe), keys, {"_los": F.col("_lo"), "_his": F.col("_hi")}, floor, tiles)
     edges = (
         rows.select(*keys, F.inline(F.array(F.struct(F.lit(True).alias("_start"), F.col("_lo").alias("_at")), F.struct(F.lit(False).alias("_start"), F.col("_hi").alias("_at")))))
         .groupBy(*keys, "_start", "_at").agg(F.count(F.lit(1)).alias("_n"))
@@ -40,6 +44,8 @@ def periods_and_gaps(df: DataFrame, keys: list[str], lo: str, hi: str, floor: in
         .groupBy(*keys, "_k").agg(F.max("_s").alias("_s"), F.max("_e").alias("_e"), F.max("_last").alias("_last"))
         .where((F.col("_s") > F.col("_e")) | (F.col("_e").isNull() & (F.col("_k") == 0)) | (F.col("_s").isNull() & F.col("_last")))
     )
+    if cuts is not None:
+        borders = Scratch(df.sparkSession).keep(borders)  # read twice, and no larger than the result
     # the end of a period is that of the next border
     paired = _with_next_end(borders, keys, cuts)
     out = F.array(
