@@ -1 +1 @@
-
+"""Journals and heads as streams."""
