@@ -144,6 +144,7 @@ def hierarchy(edges: DataFrame, parent: str = "parent", name: str = "name", chil
         ups = nodes.join(open_nodes, "node", "left_semi").select("node", F.col("_p").alias("up"))
         on_cycle = _cycle_nodes(ups, scratch)
         tainted = open_nodes
+        on_cycle = scratch.keep(on_cycle)
     paths = state.where("done").select("node", F.col("head").alias("root"), F.col("dist").alias("depth"), "path")
     back = None
     if n_shared:
@@ -185,10 +186,12 @@ def hierarchy(edges: DataFrame, parent: str = "parent", name: str = "name", chil
         )
 
     info = paths.join(tainted.withColumn("_bad", F.lit(True)), "node", "full").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
+    info = scratch.keep(info)
     above = info.select(F.col("node").alias("_p"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("_bad"))
     below = state.select(F.col("node").alias("_c"), F.col("below").alias("_below"))
     if n_shared:
         below = below.join(extra.withColumnRenamed("node", "_c"), "_c", "left").join(across.withColumnRenamed("node", "_c"), "_c", "left").select("_c", F.coalesce("_all", F.col("_below") + F.coalesce("_extra", F.lit(0))).alias("_below"))
+        below, on_cycle = scratch.keep(below), scratch.keep(on_cycle)
     inner = into
     if n_open or n_shared:
         several = shared.select(F.col("node").alias("_c"), F.lit(True).alias("_several"))
