@@ -95,8 +95,8 @@ def join_path(parent: Column, name: Column) -> Column:
 
 
 def should_merge(child: Column, parent: Column, smax: int, smin: int) -> Column:
-    """A child catalog returns to its parent if it is small and both fit one catalog."""
-    return (child < smin) & (child + parent <= smax)
+    """A child catalog returns to its parent if it is small and both, less the entry that linked them, fit one catalog."""
+    return (child < smin) & (child + parent - ENTRY_WEIGHT <= smax)
 
 
 def worthwhile(packs: Column, age_s: Column, packs_min: int = 200, age_min_s: int = 6 * 3600) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from packstrata.session import ship
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], width: int, begin: Callable) -> Iterator[pa.RecordBatch]:
-    """Numbers the groups of each key in one pass; ``begin`` gets the state and a row's values and says if a group begins there."""
+def _numbered(batches: Iterator[pa.RecordBatch], width: int, begin: Callable, flags: bool = False) -> Iterator[pa.RecordBatch]:
+    """Numbers the groups of each key in one pass; ``begin`` gets the state and a row's values and says if a group begins there. With ``flags``, that answer itself."""
     key, number, state = None, 0, None
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
@@ -22,22 +22,22 @@ def _numbered(batches: Iterator[pa.RecordBatch], width: int, begin: Callable) ->
                 key, number, state = row[:width], 0, None
             fresh, state = begin(state, *row[width:])
             number += bool(fresh)
-            numbers.append(number)
+            numbers.append(int(fresh) if flags else number)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "part"])
 
 
-def sequential_parts(df: DataFrame, keys: list[str], order: list[str], values: list[str], begin: Callable) -> DataFrame:
+def sequential_parts(df: DataFrame, keys: list[str], order: list[str], values: list[str], begin: Callable, flags: bool = False) -> DataFrame:
     """keys, values and part: 1, 2, ... as ``begin`` opens new parts along ``order`` within each key.
 
     ``begin(state, *values) -> (opens, state)`` with state None at the first
-    row of a key. Rows stream through sorted partitions; a task holds one
+    row of a key; with ``flags``, part is 1 where it opens and else 0. Rows stream through sorted partitions; a task holds one
     state, not a group.
     """
     ship(df.sparkSession)
     kept = [*keys, *dict.fromkeys([*values])]
     ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*kept)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields) + ", part long"
-    return ordered.mapInArrow(lambda b: _numbered(b, len(keys), begin), schema)
+    return ordered.mapInArrow(lambda b: _numbered(b, len(keys), begin, flags), schema)
 
 
 def next_fit(target: int) -> Callable:
@@ -65,6 +65,16 @@ def spans(gap: int, most: int) -> Callable:
     return begin
 
 
+def skip_and_continue(room: int) -> Callable:
+    """For ``flags``: an item is taken if it still fits; one that does not is passed over."""
+
+    def begin(used, *row):  # noqa: ANN001, ANN202
+        used = used or 0
+        return (True, used + row[-1]) if used + row[-1] <= room else (False, used)
+
+    return begin
+
+
 def gap_islands(df: DataFrame, keys: list[str], off: str, length: str, gap: int) -> DataFrame:
     """Adjacent or near pieces joined, without a limit of size: a running maximum and a running count."""
     w = Window.partitionBy(*keys).orderBy(off, length)

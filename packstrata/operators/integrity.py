@@ -41,6 +41,12 @@ def lost_ranges(df: DataFrame, group: str, seq: str) -> DataFrame:
     return inner.unionByName(outer).where(F.col("_n") > F.col("_p") + 1).select(group, (F.col("_p") + 1).alias("first_lost"), (F.col("_n") - 1).alias("last_lost"))
 
 
+def out_of_order(df: DataFrame, group: list[str], place: str, key: str) -> DataFrame:
+    """Rows whose key is not above that of the row before them in their group."""
+    w = Window.partitionBy(*group).orderBy(place, key)
+    return df.withColumn("_before", F.lag(key).over(w)).where(F.col("_before") >= F.col(key)).drop("_before")
+
+
 def check(edge: DataFrame, nested: DataFrame, head: DataFrame, pack: DataFrame, pack_entry: DataFrame, ochunk: DataFrame) -> DataFrame:
     """kind and subject of everything that contradicts the relations, each once.
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packstrata.functions import scalar as S
-from packstrata.operators import integrity, ledger
+from packstrata.operators import folds, integrity, ledger, splitting
 from packstrata.operators import liveness as L
+from packstrata.operators.hierarchy import hierarchy
 from packstrata.plans.registry import Registry
 from packstrata.sources.tables import table
 
@@ -257,3 +258,68 @@ select session_id, prev + 1 as first_lost, seq - 1 as last_lost from l where seq
 def journal_lost_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Gaps in each session's sequence: operations never received."""
     return integrity.lost_ranges(table(spark, d, "ojournal"), "session_id", "seq")
+
+
+@R.query("catalog_split")
+def catalog_split(spark: SparkSession, d: str) -> DataFrame:
+    """Directories that become catalogs of their own, at most 32 KiB each, and what every directory then weighs."""
+    node = table(spark, d, "node")
+    head = node.where(F.col("generation") == F.lit(node.agg(F.max("generation")).first()[0])).distinct()
+    return splitting.split(table(spark, d, "edge"), head, 32 << 10)
+
+
+@R.query("reachable", """with recursive l as (select distinct parent src, inode dst from edge where inode in (select parent from edge)), w(id) as (select 1::bigint union select l.dst from l join w on l.src = w.id) select id from w""")
+def reachable_directories(spark: SparkSession, d: str) -> DataFrame:
+    """Directories reachable from the root, level by level, cycles included."""
+    e = table(spark, d, "edge")
+    links = e.join(e.select(F.col("parent").alias("inode")).distinct(), "inode", "left_semi").select(F.col("parent").alias("src"), F.col("inode").alias("dst")).distinct()
+    return L.reachable(links, spark.range(1, 2).toDF("id")).select("id")
+
+
+@R.query("rename_into_self", """with recursive e as (select distinct parent, inode from edge), asked as (select distinct parent src, inode dst from edge where type = 2 and inode in (select parent from edge)),
+up(dst, a) as (select dst, src from asked union select up.dst, e.parent from up join e on e.inode = up.a)
+select src, dst, exists (select 1 from up where up.dst = asked.src and up.a = asked.dst) or src = dst as refused from asked""")
+def rename_into_self(spark: SparkSession, d: str) -> DataFrame:
+    """Whether moving a directory's parent into the directory would close a loop that is already there: is the child above its parent."""
+    e = table(spark, d, "edge")
+    found = hierarchy(e, order="generation").join(e.select(F.col("parent").alias("inode")).distinct(), "inode", "left_semi")
+    told = found.join(e.where("type = 2").select("parent", "inode").distinct(), ["parent", "inode"], "left_semi")
+    return told.groupBy(F.col("parent").alias("src"), F.col("inode").alias("dst")).agg(F.max(F.col("state") == "cycle").alias("refused"))
+
+
+@R.query("records_out_of_order", "select pack, key from (select pack, off, key, lag(key) over (partition by pack order by off, key) b from (select distinct pack, off, key from pack_entry)) where b >= key")
+def records_out_of_order(spark: SparkSession, d: str) -> DataFrame:
+    """Entries whose key does not follow the one before them in their pack."""
+    e = table(spark, d, "pack_entry").select("pack", "off", "key").distinct()
+    return integrity.out_of_order(e, ["pack"], "off", "key").select("pack", "key")
+
+
+@R.query("retired_indexes")
+def retired_indexes(spark: SparkSession, d: str) -> DataFrame:
+    """Condemned refs in order of age that 1 KiB of ledger takes; one that does not fit is passed over, smaller ones behind it still go."""
+    c = packs(spark, d).where("dead is not null").select(F.lit("index").alias("kind"), "dead", "name", (F.length("name") * 7 % 61 + 24).alias("cost"))
+    return folds.sequential_parts(c, ["kind"], ["dead", "name"], ["name", "cost"], folds.skip_and_continue(1024), flags=True).select("name", (F.col("part") == 1).alias("retired"))
+
+
+@R.query("kept_index_entries", f"""with {PACK_SQL} select distinct pe.key, pe.pack from pack_entry pe join p on p.name = pe.pack where p.dead is null""")
+def kept_index_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Index entries to re-emit when an index is retired: those that name a listed pack."""
+    listed = packs(spark, d).where("dead is null").select(F.col("name").alias("pack"))
+    return table(spark, d, "pack_entry").select("key", "pack").join(listed, "pack", "left_semi").distinct().select("key", "pack")
+
+
+@R.query("backup_scan", """select name, generation, place from (select name, generation, cast(row_number() over (order by generation desc, name desc) as bigint) place from (select distinct name, generation from pack where trailer_hash is not null)) where place <= 1024""")
+def backup_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The newest 1,024 verified packs: the budget of trailers that a search for backups reads."""
+    top = table(spark, d, "pack").where("trailer_hash is not null").select("name", "generation").distinct().orderBy(F.desc("generation"), F.desc("name")).limit(1024)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("generation"), F.desc("name"))).cast("long"))
+
+
+@R.query("merge_back", "select a.n as child, b.n as parent, a.w < 20000 and a.w + b.w - 200 <= 50000 as merges from (select parent n, count(*) * 200 w from (select distinct parent, name from edge) group by 1) a join (select distinct parent, inode from edge) e on e.inode = a.n join (select parent n, count(*) * 200 w from (select distinct parent, name from edge) group by 1) b on b.n = e.parent")
+def merge_back(spark: SparkSession, d: str) -> DataFrame:
+    """Which directory's catalog would return to its parent's, by the weight of their own entries."""
+    e = table(spark, d, "edge")
+    w = e.select("parent", "name").distinct().groupBy("parent").agg((F.count(F.lit(1)) * S.ENTRY_WEIGHT).alias("w"))
+    links = e.select("parent", F.col("inode").alias("child")).distinct()
+    both = links.join(w.select(F.col("parent").alias("child"), F.col("w").alias("_c")), "child").join(w.withColumnRenamed("w", "_p"), "parent")
+    return both.select("child", "parent", S.should_merge(F.col("_c"), F.col("_p"), 50_000, 20_000).alias("merges"))

@@ -241,3 +241,38 @@ def test_scalars(spark):
     df = spark.createDataFrame([("8G", "00112233-4455-6677-8899-aabbccddeeff", "p-181c79a33cc29a11-ab"), ("x", "zz", "P-1"), ("12", None, "p-ffffffffffffffff-1")], "a string, b string, c string")
     rows = df.select(S.parse_size(F.col("a")), S.volume_id_text(S.volume_id_bytes(F.col("b"))), S.pack_time_ns(F.col("c"))).collect()
     assert [tuple(r) for r in rows] == [(8 << 30, "00112233-4455-6677-8899-aabbccddeeff", 0x181C79A33CC29A11), (None, None, None), (12, None, None)]
+
+
+def test_split_equals_the_walk(spark):
+    from packstrata.operators.splitting import split
+
+    r = random.Random(5)
+    parent = {n: max(1, n - r.choice([1, 1, 2, 5, 20])) for n in range(2, 70)}
+    rows = [(p, f"d{n}".encode(), n, 2, 1) for n, p in parent.items()]
+    files = [(r.randrange(1, 70), 1000 + k, r.choice([0, 50, 900, 2048, 5000])) for k in range(200)]
+    files += [(n, 2000 + n, 7) for n in range(1, 70)]
+    rows += [(p, f"f{i}".encode(), i, 1, 1) for p, i, _ in files]
+    size = {i: n for _, i, n in files}
+    own = {n: sum(200 + (size.get(i, 0) if t == 1 and size.get(i, 0) <= 2048 else 0) for p, _, i, t, _ in rows if p == n) for n in range(1, 70)}
+    weight, roots = {}, {1}
+    for n in range(69, 0, -1):
+        kids = sorted((c for c, p in parent.items() if p == n), key=lambda c: (-weight[c], c))
+        w = own[n] + sum(weight[c] for c in kids)
+        for c in kids:
+            if w <= 6000 or weight[c] <= 200:
+                break
+            w += 200 - weight[c]
+            roots.add(c)
+        weight[n] = w
+    edge = spark.createDataFrame(rows, "parent long, name binary, inode long, type int, generation long")
+    node = spark.createDataFrame([(i, n) for i, n in size.items()], "inode long, length long")
+    got = {x.inode: (x.weight, x.catalog) for x in split(edge, node, 6000).collect()}
+    assert got == {n: (weight[n], n in roots) for n in weight} and len(roots) > 3
+
+
+def test_skip_and_continue(spark):
+    from packstrata.operators.folds import sequential_parts, skip_and_continue
+
+    df = spark.createDataFrame([("a", i, c) for i, c in enumerate([5, 4, 9, 1, 2])], "k string, i int, n long")
+    got = sequential_parts(df, ["k"], ["i"], ["i", "n"], skip_and_continue(10), flags=True).collect()
+    assert [x.part for x in sorted(got, key=lambda x: x.i)] == [1, 1, 0, 1, 0]
