@@ -100,6 +100,11 @@ for _row in _ROWS:
     LATTICE[next(iter(_own.values()))] = _own
 _FOLD = _fold_table()
 _SHAPE = {ord(c): name for name, own in LATTICE.items() for c in own.values() if c != name} | {ord(a): b for a, b in TWINS.items()}
+# a search for the few characters that change is far cheaper than a translation of them all
+_FOLDS = {chr(k): v or "" for k, v in _FOLD.items() if k != 0x20}
+_SHAPES = {chr(k): v for k, v in _SHAPE.items()}
+_FOLDED = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in UNSEEN) + "".join(re.escape(c) for c in _FOLDS if not any(a <= ord(c) <= b for a, b in UNSEEN)) + "]")
+_SHAPED = re.compile("[" + "".join(_SHAPES) + "]")
 _RANGES = {"latin": "A-Za-z\u00c0-\u024f\u0250-\u02af", "cyrillic": "\u0400-\u052f", "greek": "\u0370-\u03ff", "armenian": "\u0531-\u0587"}
 _ONLY = {s: re.compile(f"(?![{''.join(LATTICE)}])[{r}]") for s, r in _RANGES.items()}
 _TOKEN = re.compile(f"[{''.join(_RANGES.values())}\u0300-\u036f]+")
@@ -113,7 +118,8 @@ def skeleton(text: str) -> str:
     """Compatibility forms folded, unseen characters dropped, accents decomposed, each letter named by its shape."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFD", text.translate(_FOLD)).translate(_SHAPE)
+    folded = unicodedata.normalize("NFD", _FOLDED.sub(lambda m: _FOLDS[m.group()], text))
+    return _SHAPED.sub(lambda m: _SHAPES[m.group()], folded)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -144,17 +150,15 @@ class Former:
 
     def form(self, text: str) -> str:
         bones = skeleton(text)
-        if bones.isascii() and _ONLY["latin"].search(bones):
-            return bones  # every letter is Latin in a Latin text
+        if not _FOREIGN.search(bones) and _ONLY["latin"].search(bones):
+            return bones if bones.isascii() else unicodedata.normalize("NFC", bones)  # every letter is Latin in a Latin text
         context = self._context(bones)
-        if context == "latin" and not _FOREIGN.search(bones):
-            return unicodedata.normalize("NFC", bones)
         return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: self._token(m.group(), context), bones))
 
     @staticmethod
     def _context(bones: str) -> str:
         """The script of most letters that belong to one script only; '' if there are none."""
-        n = {s: sum(1 for _ in only.finditer(bones)) for s, only in _ONLY.items()}
+        n = {s: len(only.findall(bones)) for s, only in _ONLY.items()}
         best = max(SCRIPTS, key=lambda s: n[s])
         return best if n[best] else ""
 
