@@ -16,7 +16,7 @@ from packstrata.session import ship
 #: Sealed batches of a run, each with its own filter; a key is held against at most this many.
 BATCHES = 64
 #: Distinct keys of a shard, whose filters a task holds: about 2.5 bytes each.
-SHARD_KEYS = 1 << 19
+SHARD_KEYS = 1 << 17
 
 _HITS = pa.schema([pa.field("_batch", pa.int64()), pa.field("_order", pa.int64()), pa.field("_key", pa.binary()), pa.field("_probes", pa.int64())])
 
@@ -101,8 +101,7 @@ def probe_batches(rows: DataFrame, key: str, order: str, known: DataFrame | None
         before = known.select(F.lit(-1).cast("long").alias("_batch"), F.lit(None).cast("long").alias("_order"), F.col(key).cast("binary").alias("_key")).where("_key is not null")
         firsts = firsts.unionByName(before)
     stream = firsts.withColumn("_hash", F.xxhash64("_key")).withColumn("_shard", F.pmod("_hash", F.lit(shards)).cast("long"))
-    parts = max(shards, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    stream = stream.select("_shard", "_batch", "_hash", "_order", "_key").repartition(min(parts, shards) if shards > 1 else 1, "_shard").sortWithinPartitions("_shard", "_batch")
+    stream = stream.select("_shard", "_batch", "_hash", "_order", "_key").repartition(shards, "_shard").sortWithinPartitions("_shard", "_batch")
     hits = stream.mapInArrow(_probe, "_batch long, _order long, _key binary, _probes long")
     return Probed(ranked.where("_rank > 1").select("_batch", "_order", "_key"), firsts, hits)
 
