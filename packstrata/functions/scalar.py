@@ -104,6 +104,11 @@ def worthwhile(packs: Column, age_s: Column, packs_min: int = 200, age_min_s: in
     return F.when(packs < packs_min, "too few packs").when(age_s < age_min_s, "too soon").otherwise("worthwhile")
 
 
+def collection_due(repacked: Column, idle: Column, since_s: Column, every_s: int = 6 * 3600) -> Column:
+    """Whether to collect now: right after a repack, else at most every six hours while nothing is written."""
+    return repacked | (idle & (since_s >= every_s))
+
+
 def human_bytes(n: Column) -> Column:
     """Bytes with a binary unit and one decimal, whole below 1 KiB."""
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))

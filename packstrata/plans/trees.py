@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packstrata.functions import scalar as S
@@ -223,3 +223,20 @@ def size_contributors(spark: SparkSession, d: str) -> DataFrame:
     """Bytes that each part adds to a root document."""
     part = lambda t, c, n: table(spark, d, t).agg(F.sum(F.octet_length(c)).alias("bytes")).select(F.lit(n).alias("part"), "bytes")
     return part("edge", "name", "name").unionByName(part("nested", "catalog_identity", "catalog_identity")).unionByName(part("pack", "trailer_hash", "trailer_hash")).unionByName(part("pack", "name", "pack"))
+
+
+@R.query("freeze_list", f"with {STANDING}, h as (select distinct inode, mode, length from node where generation = (select max(generation) from node)) select c.inode, h.mode, h.length from (select distinct inode from st where op in (1, 4)) c join h on h.inode = c.inode")
+def freeze_list(spark: SparkSession, d: str) -> DataFrame:
+    """Inodes with journalled content, with their attributes: what a snapshot freezes."""
+    node = table(spark, d, "node")
+    head = node.where(F.col("generation") == F.lit(node.agg(F.max("generation")).first()[0])).select("inode", "mode", "length").distinct()
+    return standing(table(spark, d, "ojournal")).where("op in (1, 4)").select("inode").distinct().join(head, "inode")
+
+
+@R.query("collection_due", "select event_id, event_type = 'purchase' or (event_type = 'view' and gap >= 600) as due from (select event_id, event_type, coalesce(epoch(ts)::bigint - lag(epoch(ts)::bigint) over (partition by user_id order by ts, event_id), 0) gap from events)")
+def collection_due(spark: SparkSession, d: str) -> DataFrame:
+    """Whether to collect at each event of a user: after a purchase, or at a view 600 s after the event before."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    e = table(spark, d, "events").withColumn("_t", at).withColumn("_gap", F.coalesce(F.col("_t") - F.lag("_t").over(w), F.lit(0)))
+    return e.select("event_id", S.collection_due(F.col("event_type") == "purchase", F.col("event_type") == "view", F.col("_gap"), 600).alias("due"))

@@ -276,3 +276,28 @@ def test_skip_and_continue(spark):
     df = spark.createDataFrame([("a", i, c) for i, c in enumerate([5, 4, 9, 1, 2])], "k string, i int, n long")
     got = sequential_parts(df, ["k"], ["i"], ["i", "n"], skip_and_continue(10), flags=True).collect()
     assert [x.part for x in sorted(got, key=lambda x: x.i)] == [1, 1, 0, 1, 0]
+
+
+def test_following_a_branch(spark, tmp_path):
+    from packstrata.sources.generations import Store
+    from packstrata.streaming.heads import changes_since
+
+    s = Store(spark, f"file://{tmp_path}/v")
+    rows = lambda x: spark.createDataFrame(x, "k int, v string, m int")
+    s.commit("main", {"t": rows([(1, "a", 0), (2, "b", 0)])})
+    s.commit("main", {"t": rows([(1, "a", 1), (3, "c", 0)])})
+    s.commit("main", {"u": rows([])})
+    got = [(r.generation, sorted(tuple(x) for x in df.collect())) for r, df in changes_since(s, "main", 0, "t", ["k"], ["v"], ["m"])]
+    assert got == [(1, [(1, "changed", False, True), (2, "removed", True, True), (3, "added", True, True)])]
+
+
+def test_observed_report_and_prefetch(spark):
+    from pyspark.sql import functions as F
+
+    from packstrata.sources.objects import prefetched, report
+
+    df, told = report(spark.range(10), "run", rows=F.count(F.lit(1)), top=F.max("id"))
+    assert df.count() == 10 and told() == {"rows": 10, "top": 9}
+    assert prefetched(spark.range(4), "id", 6).count() == 4
+    with pytest.raises(ValueError):
+        prefetched(spark.range(4), "id", 5)
