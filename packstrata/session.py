@@ -46,17 +46,22 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+_MADE: list[str] = []
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage and survive lost executors.
 
     ``keep`` writes a DataFrame and returns it as a scan; ``drop`` deletes
-    tables that no later plan reads.
+    tables that no later plan reads. What is left is read by the plans that
+    were returned; ``clear_scratch`` deletes it when they have run.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_folder(spark)}/packstrata-{uuid.uuid4().hex}"
         self.made = 0
+        _MADE.append(self.base)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.made}"
@@ -73,6 +78,15 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this process has left in the shared folder; plans returned before can no longer run."""
+    done = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, whose Python workers import it. Once a context."""
     sc = spark.sparkContext

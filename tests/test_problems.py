@@ -164,3 +164,11 @@ def test_snapshots(spark, tmp_path):
 def test_sql_helpers(data):
     names, rows = duck(data, "select 1 as b, 2 as a")
     assert bag(names, rows) == {(2, 1): 1}
+
+
+def test_scratch_is_cleared(spark):
+    from packstrata.session import Scratch, clear_scratch
+
+    kept = Scratch(spark).keep(spark.range(3))
+    assert kept.count() == 3 and clear_scratch(spark) > 0
+    assert clear_scratch(spark) == 0
