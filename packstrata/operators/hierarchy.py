@@ -126,7 +126,9 @@ def hierarchy(edges: DataFrame, parent: str = "parent", name: str = "name", chil
 
     out_degree = rows.groupBy(F.col("_p").alias("node")).agg(F.count(F.lit(1)).alias("weight"))
     # in-edges of nodes that have children; all else is a leaf of the edge that names it
-    into = scratch.keep(rows.join(out_degree.select(F.col("node").alias("_c")), "_c", "left_semi"))
+    # (an inode that very many entries link is a leaf too: hot keys of the child take the other way)
+    n_rows = rows.count()
+    into = scratch.keep(skew_join(rows, out_degree.select(F.col("node").alias("_c")), ["_c"], "left_semi", floor, n_rows))
     degree = into.groupBy(F.col("_c").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min(F.struct("_p", "_name")).alias("_e"))
     nodes = scratch.keep(out_degree.join(degree, "node", "left").select("node", "weight", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.col("_e._p").alias("_p"), F.col("_e._name").alias("_name")))
     links = nodes.select("node", F.when(F.col("n_in") == 1, F.col("_p")).alias("up"), F.when(F.col("n_in") == 1, segment).alias("seg"), "weight")
@@ -205,8 +207,8 @@ def hierarchy(edges: DataFrame, parent: str = "parent", name: str = "name", chil
         loop = F.lit(False)
     inner = inner.withColumn("_loop", loop).join(below, "_c").select("_p", "_name", "_c", "_loop", "_below")
     # the many leaf edges take no part in joins on the child
-    leaves = rows.join(nodes.select(F.col("node").alias("_c")), "_c", "left_anti").select("_p", "_name", "_c", F.lit(False).alias("_loop"), F.lit(0).cast("long").alias("_below"))
-    told = skew_join(inner.unionByName(leaves), above, ["_p"], "left", floor, rows.count())
+    leaves = skew_join(rows, nodes.select(F.col("node").alias("_c")), ["_c"], "left_anti", floor, n_rows).select("_p", "_name", "_c", F.lit(False).alias("_loop"), F.lit(0).cast("long").alias("_below"))
+    told = skew_join(inner.unionByName(leaves), above, ["_p"], "left", floor, n_rows)
     kind = F.when(F.col("_loop"), "cycle").when(F.col("_bad"), "below_cycle").otherwise("tree")
     return told.withColumn("state", kind).select(
         F.col("_p").cast(own).alias(parent), F.col("_c").alias(child), _tree(F.col("_root"), 0, own.simpleString()).alias("root"), _tree(F.col("_depth") + 1, 0, "long").alias("depth"),
