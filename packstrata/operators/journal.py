@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packstrata.operators.skew import empty, hot_bounds, saturated_sum, tile_of
+from packstrata.operators.skew import hot_bounds, saturated_sum, tile_of
 from packstrata.session import Scratch, ship
 
 PLACE, TRUNCATE, FORGET, ADOPT = 1, 2, 3, 4
@@ -272,6 +272,3 @@ def _hot_map(ops: DataFrame, cuts: DataFrame) -> DataFrame:
     bare = sizes.join(pieces.select(*KEYS).distinct(), KEYS, "left_anti").withColumns({c: F.lit(0).cast("long") for c in ("fileoff", "length", "handle")})
     columns = [*KEYS, "file_size", "fileoff", "length", "handle"]
     return found.select(*columns).unionByName(bare.select(*columns))
-
-
-__all__ = ["content_map", "standing", "whole", "place_end", "empty"]
