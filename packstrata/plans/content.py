@@ -137,7 +137,7 @@ def gap_islands(spark: SparkSession, d: str) -> DataFrame:
     return folds.gap_islands(chunks, ["pack"], "off", "stored", 1 << 20)
 
 
-@R.query("human_sizes", """select distinct stored, case when stored < 1024 then stored || ' B' when stored < 1048576 then printf('%.1f KiB', round(stored / 1024.0::double, 1)) else printf('%.1f MiB', round(stored / 1048576.0::double, 1)) end as text
-from ochunk where stored is not null and stored < 1073741824""")
+@R.query("human_sizes", """select distinct stored, case when stored < 1024 then stored || ' B' when stored < 1048576 then printf('%.1f KiB', round(stored / 1024.0::double, 1)) when stored < 1073741824 then printf('%.1f MiB', round(stored / 1048576.0::double, 1))
+when stored < 1099511627776 then printf('%.1f GiB', round(stored / 1073741824.0::double, 1)) else printf('%.1f TiB', round(stored / 1099511627776.0::double, 1)) end as text from ochunk where stored is not null""")
 def human_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "ochunk").where("stored < 1073741824").select("stored").distinct().select("stored", S.human_bytes(F.col("stored")).alias("text"))
+    return table(spark, d, "ochunk").where("stored is not null").select("stored").distinct().select("stored", S.human_bytes(F.col("stored")).alias("text"))

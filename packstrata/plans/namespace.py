@@ -180,14 +180,14 @@ def range_overlap(spark: SparkSession, d: str) -> DataFrame:
     return found.select("inode", "idx", "off", F.greatest("off", F.lit(20)).cast("long").alias("lo"), F.least(F.col("off") + F.col("llen"), F.lit(60)).cast("long").alias("hi"))
 
 
-@R.query("read_range", "select doc_id as inode, encode(text) as bytes from documents where octet_length(encode(text)) between 1 and 64")
+@R.query("read_range", "select doc_id as inode, unhex(substr(hex(encode(text)), 201, 9800)) as bytes from documents where octet_length(encode(text)) > 100")
 def read_range(spark: SparkSession, d: str) -> DataFrame:
-    """Bytes [0, 64) of the small texts, read from chunks of ten bytes each."""
-    small = table(spark, d, "documents").where("octet_length(text) between 1 and 64").select(F.col("doc_id").alias("inode"), F.col("text").cast("binary").alias("b"))
+    """Bytes [100, 5000) of every text that reaches them, read from chunks of 1,024 bytes."""
+    files = table(spark, d, "documents").where("octet_length(text) > 0").select(F.col("doc_id").alias("inode"), F.col("text").cast("binary").alias("b"))
     n = F.length("b")
-    chunks = small.select("inode", "b", F.explode(F.sequence(F.lit(0), n - 1, F.lit(10))).alias("at"))
-    refs = chunks.select("inode", F.col("at").cast("long").alias("off"), F.least(F.lit(10), n - F.col("at")).cast("long").alias("llen"), F.substring("b", F.col("at") + 1, F.lit(10)).alias("data"))
-    return N.read_range(refs, 0, 64)
+    chunks = files.select("inode", "b", F.explode(F.sequence(F.lit(0), n - 1, F.lit(1024))).alias("at"))
+    refs = chunks.select("inode", F.col("at").cast("long").alias("off"), F.least(F.lit(1024), n - F.col("at")).cast("long").alias("llen"), F.substring("b", F.col("at") + 1, F.lit(1024)).alias("data"))
+    return N.read_range(refs, 100, 5000)
 
 
 @R.query("newest_attributes", "select inode, generation, mode, length from (select *, row_number() over (partition by inode order by generation desc) rn from (select distinct * from node)) where rn = 1")

@@ -34,11 +34,11 @@ def publish_and_travel(spark: SparkSession, d: str) -> DataFrame:
     return at(first).unionByName(at(second))
 
 
-@R.query("pack_files", "select pack, key, off from pack_entry where type = 'catalog'")
+@R.query("pack_files", "select pack, key, off from pack_entry")
 def pack_files(spark: SparkSession, d: str) -> DataFrame:
-    """Catalog entries written as key-sorted pack files and scanned again."""
+    """Entries written as key-sorted pack files and scanned again."""
     folder = fresh(spark)
-    O.write_packs(table(spark, d, "pack_entry").where("type = 'catalog'").select("pack", "key", "off"), folder)
+    O.write_packs(table(spark, d, "pack_entry").select("pack", "key", "off"), folder)
     return spark.read.parquet(folder)
 
 

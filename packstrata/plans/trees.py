@@ -108,10 +108,10 @@ def merge_apply(spark: SparkSession, d: str) -> DataFrame:
     return M.merged(*branches(spark, d), ["path"], "kind", ["len", "body"], DIR, keep_both=True)
 
 
-@R.query("conflict_names", r"""select p_name as name, case when regexp_extract(p_name, '^(.+)(\.[^.]*)$', 1) <> '' then regexp_extract(p_name, '^(.+)(\.[^.]*)$', 1) || ' (from side)' || regexp_extract(p_name, '^(.+)(\.[^.]*)$', 2) else p_name || ' (from side)' end as kept_as
-from (select distinct decode(name) p_name from edge where not contains(decode(name), chr(10)))""")
+@R.query("conflict_names", r"""select p_name as name, case when regexp_extract(p_name, '^(.+)(\.[^.]*)$', 1, 's') <> '' then regexp_extract(p_name, '^(.+)(\.[^.]*)$', 1, 's') || ' (from side)' || regexp_extract(p_name, '^(.+)(\.[^.]*)$', 2, 's') else p_name || ' (from side)' end as kept_as
+from (select distinct decode(name) p_name from edge where name is not null)""")
 def conflict_names(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "edge").select(F.col("name").cast("string").alias("name")).where(~F.col("name").contains("\n")).distinct()
+    names = table(spark, d, "edge").select(F.col("name").cast("string").alias("name")).dropna().distinct()
     return names.select("name", S.conflict_name(F.col("name"), "side").alias("kept_as"))
 
 
