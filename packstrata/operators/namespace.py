@@ -90,6 +90,12 @@ def outside_scope(edge: DataFrame, scope: DataFrame) -> DataFrame:
     return entries(edge).join(scope.select(F.col("inode").alias("parent")), "parent", "left_anti")
 
 
+def unplaced(edge: DataFrame, inodes: DataFrame) -> DataFrame:
+    """Those of ``inodes`` that edge knows neither as an entry nor as a directory."""
+    known = edge.select("inode").unionByName(edge.select(F.col("parent").alias("inode"))).dropna().distinct()
+    return inodes.select("inode").dropna().distinct().join(known, "inode", "left_anti")
+
+
 def inside(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """Paths at or below each root path, by prefix: path, root.
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from packstrata.functions import scalar as S
 from packstrata.operators import namespace as N
 from packstrata.operators.hierarchy import hierarchy
+from packstrata.operators.journal import standing
 from packstrata.plans.adapters import CHUNKREF_SQL, chunkrefs, newest
+from packstrata.plans.problems import STANDING
 from packstrata.plans.registry import Registry
 from packstrata.sources.tables import table
 
@@ -161,10 +163,24 @@ def change_scope(spark: SparkSession, d: str) -> DataFrame:
 up(inode) as (select inode from dirty union select e.parent from e join up on up.inode = e.inode)
 select parent, name, inode from e where parent not in (select inode from up)""")
 def unchanged_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Entries outside the scope of adopted inodes: their catalogs are carried over."""
+    """Entries outside the scope of all standing operations: their catalogs are carried over.
+
+    While ``unplaced_inodes`` has rows the scope has a hole, and a caller must
+    walk everything instead. The SQL still takes adopted inodes only.
+    """
+    edge = table(spark, d, "edge")
+    return N.outside_scope(edge, N.ancestors_of(edge, _journalled(spark, d))).select("parent", "name", "inode")
+
+
+def _journalled(spark: SparkSession, d: str) -> DataFrame:
+    return standing(table(spark, d, "ojournal")).select("inode").distinct()
+
+
+@R.query("unplaced_inodes", f"with {STANDING} select distinct inode from st where inode not in (select inode from edge where inode is not null) and inode not in (select parent from edge where parent is not null)")
+def unplaced_inodes(spark: SparkSession, d: str) -> DataFrame:
+    """Journalled inodes that no entry places: the scope of changes cannot say which directories they touch."""
     edge = table(spark, d, "edge")
-    dirty = table(spark, d, "ojournal").where("op = 4").select("inode").distinct().join(edge.select("inode"), "inode", "left_semi")
-    return N.outside_scope(edge, N.ancestors_of(edge, dirty)).select("parent", "name", "inode")
+    return N.unplaced(edge, _journalled(spark, d))
 
 
 @R.query("chunk_offsets", f"with {CHUNKREF_SQL} select inode, idx, cast(sum(llen) over (partition by inode order by idx rows unbounded preceding) - llen as bigint) as off, llen from chunkref")
