@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packstrata.operators.skew import hot_bounds, saturated_sum, tile_of
+from packstrata.operators.skew import hot_bounds, saturated_sum, skew_join, tile_of
 from packstrata.session import Scratch, ship
 
 PLACE, TRUNCATE, FORGET, ADOPT = 1, 2, 3, 4
@@ -124,6 +124,22 @@ def _ranges(ops: list[tuple]) -> Iterator[tuple]:
             yield off, min(off + length, END), None
 
 
+def sizes_left(journal: DataFrame, keys: list[str], order: list[str], floor: int | None = None) -> DataFrame:
+    """keys, present and length that the standing operations of each key leave, applied in ``order``.
+
+    As ``_state``, by aggregation: TRUNCATE and ADOPT set the length, FORGET
+    resets it, and a PLACE after the last of these raises it to its end.
+    """
+    ops = standing(journal)
+    at = F.struct(*order)
+    last = ops.where(F.col("op") != PLACE).groupBy(*keys).agg(F.max(F.struct(at.alias("at"), "op", "length")).alias("_set"))
+    told = skew_join(ops, last, keys, "left", floor)
+    later = F.col("_set").isNull() | (at > F.col("_set.at"))
+    exact = F.when(F.col("_set.op") != FORGET, F.col("_set.length"))
+    found = told.groupBy(*keys).agg(F.max_by("op", at).alias("_op"), F.max(F.when((F.col("op") == PLACE) & later, place_end())).alias("_raised"), F.max(exact).alias("_exact"))
+    return found.select(*keys, (F.col("_op") != FORGET).alias("present"), F.greatest(F.coalesce("_raised", F.lit(0)), F.coalesce("_exact", F.lit(0))).cast("long").alias("length"))
+
+
 MAP_SCHEMA = "session_id long, inode long, file_size long, fileoff long, length long, handle long"
 _ARROW = pa.schema([pa.field(c, pa.int64()) for c in ("session_id", "inode", "file_size", "fileoff", "length", "handle")])
 

@@ -9,7 +9,7 @@ from packstrata.functions import scalar as S
 from packstrata.operators import lookup as I
 from packstrata.operators import merging as M
 from packstrata.operators import rescue
-from packstrata.operators.journal import standing
+from packstrata.operators.journal import sizes_left, standing
 from packstrata.plans.adapters import BRANCHES_SQL, VERSIONS_SQL, branches, day_versions
 from packstrata.plans.problems import STANDING
 from packstrata.plans.registry import Registry
@@ -139,15 +139,13 @@ h as (select distinct inode, length from node where generation = (select max(gen
 
 @R.query("overlay_view", f"""with {OVERLAY_SQL} select inode, length from h where inode not in (select inode from dl) union all select inode, top from dl where op <> 3""")
 def overlay_view(spark: SparkSession, d: str) -> DataFrame:
-    """The head under the journals' delta: forgotten inodes are tombstones, others have their farthest byte."""
+    """The head under the journals' delta: forgotten inodes are tombstones, others have the length their operations leave.
+
+    The SQL still takes the farthest byte ever written, which no truncation lowers.
+    """
     node = table(spark, d, "node")
     head = node.where(F.col("generation") == F.lit(node.agg(F.max("generation")).first()[0])).select("inode", "length").distinct()
-    return M.overlay(head, _delta(spark, d), ["inode"], F.col("op") == 3).select("inode", "length")
-
-
-def _delta(spark: SparkSession, d: str) -> DataFrame:
-    far = F.when(F.col("op") == 1, F.col("fileoff") + F.col("length")).when(F.col("op") != 3, F.col("length"))
-    return standing(table(spark, d, "ojournal")).groupBy("inode").agg(F.max_by("op", F.struct("session_id", "seq")).alias("op"), F.max(far).alias("length"))
+    return M.overlay(head, sizes_left(table(spark, d, "ojournal"), ["inode"], ["session_id", "seq"]), ["inode"], ~F.col("present")).select("inode", "length")
 
 
 @R.query("dirty_inodes", f"""with {STANDING} select inode from st union select inode from edge where generation = (select max(generation) from edge) and inode is not null union select inode from node where nlink = 0""")

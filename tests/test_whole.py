@@ -30,3 +30,30 @@ def test_unchanged_entries_heed_every_operation(spark, data, tmp_path):
     d = tables(spark, tmp_path, edge=(EDGE, edge), ojournal=(JOURNAL, ops))
     assert [x.inode for x in entry.queries()["unchanged_entries"](spark, d).collect()] == [60]
     assert [x.inode for x in entry.queries()["unplaced_inodes"](spark, d).collect()] == [99]
+
+# the last exact set by (session, seq), raised by later PLACE ends; an inode whose last operation is FORGET is none
+OVERLAY = f"""with {STANDING}, o as (select *, row_number() over (partition by inode order by session_id, seq) k from st),
+l as (select inode, max(k) filter (op <> 1) k, max_by(op, k) op from o group by 1),
+h as (select distinct inode, length from node where generation = (select max(generation) from node))
+select inode, length from h where inode not in (select inode from st) union all
+select o.inode, cast(max(case when o.op = 1 and o.k > coalesce(l.k, 0) then o.fileoff + o.length when o.op in (2, 4) and o.k = l.k then o.length else 0 end) as bigint) from o join l on l.inode = o.inode where l.op <> 3 group by 1"""
+
+
+def test_overlay_view_is_the_state_after_the_operations(spark, data):
+    assert differences(entry.queries()["overlay_view"](spark, data), data, OVERLAY) == ([], [])
+
+
+def test_sizes_left(spark):
+    from packstrata.operators.journal import sizes_left
+
+    place, cut, forget, adopt = (lambda at, n: (1, 7, at, n)), (lambda n: (2, None, None, n)), (3, None, None, None), (lambda n: (4, 7, None, n))
+    cases = [
+        ([place(0, 90), cut(10)], (True, 10)), ([place(0, 90), cut(10), place(20, 5)], (True, 25)), ([place(0, 90), adopt(40), place(0, 3)], (True, 40)),
+        ([place(0, 90), forget, place(0, 4)], (True, 4)), ([cut(9), forget], (False, 0)), ([place(5, 5), place(0, 1)], (True, 10)), ([place(0, 90), forget, cut(0)], (True, 0)),
+    ]
+    # the sessions of an inode follow one another, whatever their own numbers
+    rows = [(k // 2, 50 - 10 * (k // 2) + k, op, i, handle, at, n, None) for i, (ops, _) in enumerate(cases) for k, (op, handle, at, n) in enumerate(ops)]
+    rows = [(s, q * 100 + i, *rest) for i, (s, q, *rest) in ((r[3], r) for r in rows)]
+    for floor in (None, 1):
+        got = {x.inode: (x.present, x.length) for x in sizes_left(spark.createDataFrame(rows, JOURNAL), ["inode"], ["session_id", "seq"], floor).collect()}
+        assert {i: (p, n if p else 0) for i, (p, n) in got.items()} == {i: want for i, (_, want) in enumerate(cases)}
