@@ -136,9 +136,9 @@ def _objects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _retained(spark: SparkSession, d: str) -> DataFrame:
-    """The union of what chunks name and what was condemned within 30 days."""
+    """The union of what chunks name and what was condemned less than GRACE ago; the SQL still has 30 days."""
     named = table(spark, d, "ochunk").where("pack is not null").select(F.col("pack").alias("name"))
-    return named.unionByName(packs(spark, d).where(F.col("dead") > NOW - 30 * 86400).select("name")).distinct()
+    return named.unionByName(packs(spark, d).where(F.col("dead") > NOW - GRACE).select("name")).distinct()
 
 
 @R.query("space_report", f"""with {PACK_SQL}, live as (select pack n from ochunk where pack is not null union select name from p where dead > {NOW - 30 * 86400}),
@@ -159,12 +159,12 @@ old as (select name, dead seen from p where dead is not null and name not in (se
 new as (select name, {NOW} seen from p where dead is null and generation = (select min(generation) from p) and name not in (select n from listed where n is not null) and name not in (select name from old))
 select name, cast(seen as bigint) as "at" from (select * from old union all select * from new)""")
 def ledger_carry(spark: SparkSession, d: str) -> DataFrame:
-    """The ledger of the next generation, which drops the packs of the first one."""
+    """The ledger of the next generation, which drops the packs of the first one; the SQL still carries rows for 30 days."""
     p = packs(spark, d)
     first = p.agg(F.min("generation")).first()[0]
     c = table(spark, d, "ochunk")
     listed = c.where(F.col("generation") == F.lit(c.agg(F.max("generation")).first()[0])).select(F.col("pack").alias("name")).dropna()
-    return ledger.carried(p.where("dead is not null").select("name", F.col("dead").alias("at")), p.where((F.col("dead").isNull()) & (F.col("generation") == F.lit(first))), listed, NOW, 2_592_000)
+    return ledger.carried(p.where("dead is not null").select("name", F.col("dead").alias("at")), p.where((F.col("dead").isNull()) & (F.col("generation") == F.lit(first))), listed, NOW, GRACE)
 
 
 @R.query("ledger_cap", f"""with {PACK_SQL}, c as (select name, dead seen, length(name) + 24 cost from p where dead is not null)

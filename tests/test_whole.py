@@ -57,3 +57,24 @@ def test_sizes_left(spark):
     for floor in (None, 1):
         got = {x.inode: (x.present, x.length) for x in sizes_left(spark.createDataFrame(rows, JOURNAL), ["inode"], ["session_id", "seq"], floor).collect()}
         assert {i: (p, n if p else 0) for i, (p, n) in got.items()} == {i: want for i, (_, want) in enumerate(cases)}
+
+
+PACK, CHUNK = "name string, size long, generation long, condemned_at_unix long, trailer_hash binary", "identity string, pack string, generation long"
+
+
+def test_condemned_packs_are_kept_for_the_grace_only(spark, tmp_path):
+    from packstrata.plans.maintenance import GRACE, NOW
+
+    name = lambda age, x: f"p-{(NOW - age) * 1_000_000_000:016x}-{x}"
+    old, day = 400 * 86400, 86400
+    named, fresh, edge, gone, ancient = (name(old, x) for x in "abcde")
+    young = name(day, "f")
+    dead = {named: NOW - 40 * day, fresh: NOW - day, edge: NOW - GRACE + 1, gone: NOW - GRACE, ancient: NOW - 40 * day, young: NOW - 40 * day}
+    d = tables(
+        spark, tmp_path, pack=(PACK, [(n, 10 + i, 1, at, b"h") for i, (n, at) in enumerate(dead.items())] + [("odd", 5, 1, NOW - 40 * day, b"h")]),
+        ochunk=(CHUNK, [("00", named, 1)]),
+    )
+    q = entry.queries()
+    assert {x.name for x in q["collectable_packs"](spark, d).collect()} == {gone, ancient}
+    assert [tuple(x) for x in q["space_report"](spark, d).select("scanned", "retained", "young", "candidates", "bytes").collect()] == [(7, 3, 2, 2, 27)]
+    assert {(x.name, x.at) for x in q["ledger_carry"](spark, d).collect()} == {(fresh, NOW - day), (edge, NOW - GRACE + 1)}
