@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packstrata.functions.scalar import DIRECTORY, hex_of, is_hash_name, parse_hex
+from packstrata.operators.hierarchy import hierarchy
 
 
 def _found(df: DataFrame, kind: str, subject: Column) -> DataFrame:
@@ -83,3 +84,39 @@ def check(edge: DataFrame, nested: DataFrame, head: DataFrame, pack: DataFrame,
     for k in kinds[1:]:
         out = out.unionByName(k)
     return out.distinct()
+
+
+def structure(edge: DataFrame, head: DataFrame, pack: DataFrame, pack_entry: DataFrame, ochunk: DataFrame) -> DataFrame:
+    """kind and subject of what contradicts the shape of the store, beside ``check``.
+
+    cycle: a directory that a walk reaches more than once, being on a directed
+    cycle or having several entries. missing-shard: a shard without a placement
+    in a pack that is listed and not condemned. bad-shard, bad-catalog: a
+    placement that cannot be read (key of other than 32 bytes, no length, or
+    outside its pack). shard-routing: a file of several links without a record
+    in the head. chunkrefs: a chunk whose stored length no placement in its
+    pack has. Runs jobs while it is called.
+    """
+    entry = edge.select("parent", "name", "inode", "type").distinct()
+    with_entries = edge.select(F.col("parent").alias("inode")).distinct()
+    on_cycle = hierarchy(edge, order="generation").where("state = 'cycle'").select(F.col("parent").alias("inode"))
+    several = entry.select("parent", "name", "inode").distinct().join(with_entries, "inode", "left_semi").groupBy("inode").count().where("count > 1").select("inode")
+    placed = pack_entry.select("pack", "key", "off", "length", "type").distinct()
+    sizes = pack.groupBy(F.col("name").alias("pack")).agg(F.max("size").alias("size"), F.max("condemned_at_unix").alias("dead"))
+    known = placed.where("type in ('shard', 'catalog')").join(sizes, "pack", "left").withColumn("_listed", F.col("size").isNotNull() & F.col("dead").isNull())
+    lost = known.where("type = 'shard'").groupBy("key").agg(F.max("_listed").alias("_held")).where("not _held")
+    unreadable = known.where("octet_length(key) <> 32 or length <= 0 or off < 0 or off + length > size")
+    linked = entry.where(F.col("type") != DIRECTORY).groupBy("inode").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and inode is not null").select("inode")
+    refs = ochunk.where("pack is not null").select("identity", "pack", "stored").distinct().withColumn("key", parse_hex(F.col("identity"), 32)).where("key is not null")
+    held = refs.join(placed.select("pack", "key").distinct(), ["pack", "key"], "left_semi")
+    kinds = [
+        _found(on_cycle.unionByName(several), "cycle", F.col("inode")),
+        _found(lost, "missing-shard", hex_of(F.col("key"))),
+        unreadable.select(F.concat(F.lit("bad-"), "type").alias("kind"), hex_of(F.col("key")).alias("subject")),
+        _found(linked.join(head.select("inode"), "inode", "left_anti"), "shard-routing", F.col("inode")),
+        _found(held.join(placed.select("pack", "key", F.col("length").alias("stored")), ["pack", "key", "stored"], "left_anti"), "chunkrefs", F.col("identity")),
+    ]
+    out = kinds[0]
+    for k in kinds[1:]:
+        out = out.unionByName(k)
+    return out.distinct()

@@ -238,6 +238,25 @@ def integrity_check(spark: SparkSession, d: str) -> DataFrame:
     return integrity.check(t("edge"), t("nested"), head, t("pack"), t("pack_entry"), t("ochunk"))
 
 
+@R.query("integrity_structure", f"""with recursive {PACK_SQL}, {PE_SQL}, e as (select distinct parent, name, inode, type from edge), o as (select distinct identity, pack, stored from ochunk where pack is not null and regexp_matches(identity, '^[0-9a-fA-F]{{64}}$')),
+links as (select distinct parent, inode from e where inode in (select parent from e)), loops(a, b) as (select parent, inode from links union select l.a, k.inode from loops l join links k on k.parent = l.b),
+placed as (select pe.*, p.size, p.name is not null and p.dead is null as listed from pe left join p on p.name = pe.pack where pe.type in ('shard', 'catalog')),
+x as (
+ select 'cycle' kind, cast(a as varchar) subject from loops where a = b
+ union all select 'cycle', cast(inode as varchar) from (select distinct parent, name, inode from e) where inode in (select parent from e) group by inode having count(*) > 1
+ union all select 'missing-shard', lower(hex(key)) from placed where type = 'shard' group by key having not bool_or(listed)
+ union all select 'bad-' || type, lower(hex(key)) from placed where octet_length(key) <> 32 or length <= 0 or off < 0 or off + length > size
+ union all select 'shard-routing', cast(inode as varchar) from (select inode from e where type <> 2 and inode is not null group by 1 having count(*) > 1) where inode not in (select inode from node where inode is not null and generation = (select max(generation) from node))
+ union all select 'chunkrefs', identity from o where exists (select 1 from pe where pe.pack = o.pack and pe.key = unhex(o.identity)) and not exists (select 1 from pe where pe.pack = o.pack and pe.key = unhex(o.identity) and pe.length = o.stored))
+select distinct kind, subject from x""")
+def integrity_structure(spark: SparkSession, d: str) -> DataFrame:
+    """The kinds of damage that ``integrity`` does not name: cycles, shards, unreadable catalogs, routing, stored lengths."""
+    t = lambda name: table(spark, d, name)
+    node = t("node")
+    head = node.where(F.col("generation") == F.lit(node.agg(F.max("generation")).first()[0]))
+    return integrity.structure(t("edge"), head, t("pack"), t("pack_entry"), t("ochunk"))
+
+
 @R.query("integrity_counts", """with h as (select distinct inode, type, length from node where generation = (select max(generation) from node))
 select type, cast(count(distinct inode) as bigint) as inodes, cast(sum(coalesce(length, 0)) as bigint) as bytes from h group by 1""")
 def integrity_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -78,3 +78,17 @@ def test_condemned_packs_are_kept_for_the_grace_only(spark, tmp_path):
     assert {x.name for x in q["collectable_packs"](spark, d).collect()} == {gone, ancient}
     assert [tuple(x) for x in q["space_report"](spark, d).select("scanned", "retained", "young", "candidates", "bytes").collect()] == [(7, 3, 2, 2, 27)]
     assert {(x.name, x.at) for x in q["ledger_carry"](spark, d).collect()} == {(fresh, NOW - day), (edge, NOW - GRACE + 1)}
+
+
+def test_integrity_structure_names_each_kind(spark, tmp_path):
+    key, other = bytes(range(32)), b"\1" * 32
+    edge = [(1, b"a", 2, 2, 1), (2, b"b", 3, 2, 1), (3, b"c", 2, 2, 1), (1, b"d", 4, 2, 1), (4, b"x", 50, 1, 1), (1, b"y", 50, 1, 1), (4, b"z", 51, 1, 1), (1, b"w", 51, 1, 1)]
+    d = tables(
+        spark, tmp_path, edge=(EDGE, edge), node=("inode long, type int, generation long", [(n, 2, 1) for n in (1, 2, 3, 4)] + [(51, 1, 1)]),
+        pack=(PACK, [("p", 100, 1, None, b"h"), ("q", 100, 1, 5, b"h")]),
+        pack_entry=("pack string, key binary, off long, length long, type string", [("q", key, 0, 10, "shard"), ("p", other, 95, 10, "shard"), ("p", b"short", 0, 10, "catalog"), ("p", key, 20, 7, ""), ("p", b"\2" * 32, 40, 9, "")]),
+        ochunk=("identity string, pack string, stored long, generation long", [(key.hex(), "p", 8, 1), ("02" * 32, "p", 9, 1)]),
+    )
+    assert {tuple(x) for x in entry.queries()["integrity_structure"](spark, d).collect()} == {
+        ("cycle", "2"), ("cycle", "3"), ("missing-shard", key.hex()), ("bad-shard", other.hex()), ("bad-catalog", b"short".hex()), ("shard-routing", "50"), ("chunkrefs", key.hex()),
+    }
