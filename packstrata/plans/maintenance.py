@@ -136,8 +136,13 @@ def _objects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _retained(spark: SparkSession, d: str) -> DataFrame:
-    """The union of what chunks name and what was condemned less than GRACE ago; the SQL still has 30 days."""
+    """The union of what chunks name and what was condemned less than GRACE ago; the SQL still has 30 days.
+
+    Without any chunk that names a pack there are no refs to go by, and the sweep is refused.
+    """
     named = table(spark, d, "ochunk").where("pack is not null").select(F.col("pack").alias("name"))
+    if named.limit(1).count() == 0:
+        raise ValueError("no chunk names a pack: every pack would count as garbage")
     return named.unionByName(packs(spark, d).where(F.col("dead") > NOW - GRACE).select("name")).distinct()
 
 

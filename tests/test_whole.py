@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from oracle import differences
 
 import __spark_entry__ as entry
@@ -92,3 +93,10 @@ def test_integrity_structure_names_each_kind(spark, tmp_path):
     assert {tuple(x) for x in entry.queries()["integrity_structure"](spark, d).collect()} == {
         ("cycle", "2"), ("cycle", "3"), ("missing-shard", key.hex()), ("bad-shard", other.hex()), ("bad-catalog", b"short".hex()), ("shard-routing", "50"), ("chunkrefs", key.hex()),
     }
+
+
+@pytest.mark.parametrize("name", ["collectable_packs", "space_report"])
+def test_a_sweep_without_refs_is_refused(spark, tmp_path, name):
+    d = tables(spark, tmp_path, pack=(PACK, [("p-0000000000000001-a", 10, 1, None, b"h")]), ochunk=(CHUNK, [("00", None, 1)]))
+    with pytest.raises(ValueError, match="no chunk names a pack"):
+        entry.queries()[name](spark, d)
