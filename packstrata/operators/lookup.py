@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packstrata.operators.asof import asof, positions
 
 def newest_wins(tables: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """Of the rows of each key, the values of the newest; ties take the greatest values. Combines before the shuffle."""
@@ -22,20 +23,13 @@ def first_source(sources: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def sampled(table: DataFrame, key: str, every: int) -> DataFrame:
-    """Every ``every``-th key of each leading byte's block in key order, with its place: the sparse index of a sorted table."""
-    w = Window.partitionBy("_block").orderBy(key)
-    ranked = table.select(F.substring(key, 1, 1).alias("_block"), key).distinct().withColumn("_n", F.row_number().over(w) - 1)
-    return ranked.where(F.col("_n") % every == 0).select("_block", F.col(key).alias("sample"), F.col("_n").cast("long").alias("place"))
+    """sample, place: every ``every``-th distinct key of the whole sorted table, the sparse index of it."""
+    return positions(table, key).where(F.col("place") % every == 0).select(F.col(key).alias("sample"), "place")
 
 
 def windows_of(probes: DataFrame, key: str, samples: DataFrame) -> DataFrame:
-    """For each distinct probe the greatest sample at or below it in its block: where a search of the table begins."""
-    both = samples.select("_block", F.col("sample").alias("_k"), F.lit(0).alias("_side"), "sample", "place").unionByName(
-        probes.select(F.substring(key, 1, 1).alias("_block"), F.col(key).alias("_k"), F.lit(1).alias("_side"), F.lit(None).cast("binary").alias("sample"), F.lit(None).cast("long").alias("place")).dropna(subset=["_k"]).distinct()
-    )
-    w = Window.partitionBy("_block").orderBy("_k", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumns({"sample": F.last("sample", ignorenulls=True).over(w), "place": F.last("place", ignorenulls=True).over(w)})
-    return got.where("_side = 1").select(F.col("_k").alias(key), "sample", "place")
+    """For each distinct probe the last sample not above it: where a search of the table begins. Null below the first."""
+    return asof(probes, key, samples, "sample", ["sample", "place"])
 
 
 def by_prefix(probes: DataFrame, key: str, index: DataFrame, entry: str, size: int = 12) -> DataFrame:

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packstrata.operators.asof import asof
 from packstrata.operators.skew import skew_join
 
-#: Runs never cross a multiple of this many keys, so that a block of keys can be matched on its own.
+#: Runs are built per block of so many keys, so that no task orders more than a block.
 BLOCK_BITS = 16
 
 
-
-
 def key_runs(parents: DataFrame, key: str, facts: list[str]) -> DataFrame:
-    """Contiguous runs of integer keys with equal facts: _block, _from, _to, facts.
+    """Contiguous runs of integer keys with equal facts: _from, _to, facts.
 
     ``parents`` has unique non-null keys. Keys in sequence minus their rank is
-    constant inside a run; ranks are taken per block of 2^BLOCK_BITS keys.
+    constant inside a run; ranks are taken per block of 2^BLOCK_BITS keys, so a
+    longer run comes in pieces.
     """
     rows = parents.select(F.shiftright(key, BLOCK_BITS).alias("_block"), F.col(key).alias("_key"), *facts)
     w = Window.partitionBy("_block").orderBy("_key")
@@ -25,26 +25,19 @@ def key_runs(parents: DataFrame, key: str, facts: list[str]) -> DataFrame:
     for f in facts:
         new = new | ~F.lag(f).over(w).eqNullSafe(F.col(f))
     rows = rows.withColumn("_new", F.coalesce(new, F.lit(True)).cast("long")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("_block", "_run").agg(F.min("_key").alias("_from"), F.max("_key").alias("_to"), *(F.first(f).alias(f) for f in facts)).drop("_run")
+    return rows.groupBy("_block", "_run").agg(F.min("_key").alias("_from"), F.max("_key").alias("_to"), *(F.first(f).alias(f) for f in facts)).drop("_block", "_run")
 
 
 def match_runs(references: DataFrame, key: str, runs: DataFrame, facts: list[str]) -> DataFrame:
-    """Distinct keys of ``references`` with the facts of the run that holds them, or with nulls and _held false.
+    """Distinct non-null keys of ``references`` with the facts of the run that holds them, or with nulls and _held false.
 
-    As-of match: runs and keys are sorted together by block, each key takes the
-    run start that precedes it, and lies beyond the run if it is above its end.
+    As-of match: each key takes the run (_from, _to, any width, keys of any
+    ordered type) whose start precedes it, and lies beyond that run if it is
+    above its end. Of runs that overlap the one that starts last decides.
     """
-    keys = references.select(F.col(key).alias("_key")).dropna().distinct()
-    entry = F.struct("_to", *facts)
-    shape = runs.select(entry.alias("_r")).schema["_r"].dataType
-    both = (
-        keys.select(F.shiftright("_key", BLOCK_BITS).alias("_block"), "_key", F.lit(1).alias("_side"), F.lit(None).cast(shape).alias("_r"))
-        .unionByName(runs.select("_block", F.col("_from").alias("_key"), F.lit(0).alias("_side"), entry.alias("_r")))
-    )
-    w = Window.partitionBy("_block").orderBy("_key", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    held = F.coalesce(F.col("_r._to") >= F.col("_key"), F.lit(False))
-    return got.select(F.col("_key").alias(key), held.alias("_held"), *(F.when(held, F.col(f"_r.{f}")).alias(f) for f in facts))
+    got = asof(references, key, runs, "_from", ["_to", *facts])
+    held = F.coalesce(F.col("_to") >= F.col(key), F.lit(False))
+    return got.select(key, held.alias("_held"), *(F.when(held, F.col(f)).alias(f) for f in facts))
 
 
 def state_of(held: Column, alive: Column, born: Column, at: Column) -> Column:
@@ -55,6 +48,9 @@ def state_of(held: Column, alive: Column, born: Column, at: Column) -> Column:
     )
 
 
+FACTS = ["_alive", "_born"]
+
+
 def integer_orphans(references: DataFrame, key: str, at: str, parents: DataFrame, floor: int | None = None) -> DataFrame:
     """``references`` whose integer ``key`` is an orphan, with its state.
 
@@ -62,22 +58,20 @@ def integer_orphans(references: DataFrame, key: str, at: str, parents: DataFrame
     References with a null key refer to nothing and are no orphans; a null
     generation is never late.
     """
-    runs = key_runs(parents, key, ["_alive", "_born"])
-    # only keys that can be an orphan for some reference go on
-    latest = references.groupBy(key).agg(F.min(at).alias("_first"))
-    matched = match_runs(references, key, runs, ["_alive", "_born"])
-    suspect = matched.where(~F.col("_held") | ~F.col("_alive") | F.col("_born").isNotNull())
-    suspect = suspect.join(latest.dropna(subset=[key]), key).where(state_of(F.col("_held"), F.col("_alive"), F.col("_born"), F.col("_first")).isNotNull()).drop("_first")
-    return _judged(references.where(F.col(key).isNotNull()), suspect, [key], at, floor)
+    return _orphans(references, key, at, key_runs(parents, key, FACTS), floor)
 
 
 def keyed_orphans(references: DataFrame, key: str, at: str, parents: DataFrame, floor: int | None = None) -> DataFrame:
-    """As integer_orphans for keys of any type, which have no order to compress: every key is its own run."""
-    facts = parents.select(F.col(key), F.lit(True).alias("_held"), "_alive", "_born")
-    return _judged(references.where(F.col(key).isNotNull()), facts, [key], at, floor, missing=True)
+    """As integer_orphans for keys of any ordered type (bytes, text), of which none is next to another: every key is a run of one."""
+    runs = parents.where(F.col(key).isNotNull()).select(F.col(key).alias("_from"), F.col(key).alias("_to"), *FACTS)
+    return _orphans(references, key, at, runs, floor)
 
 
-def _judged(references: DataFrame, facts: DataFrame, keys: list[str], at: str, floor: int | None, missing: bool = False) -> DataFrame:
-    rows = skew_join(references, facts, keys, "left" if missing else "inner", floor)
-    held = F.coalesce("_held", F.lit(False))
-    return rows.withColumn("state", state_of(held, F.col("_alive"), F.col("_born"), F.col(at))).where("state is not null").drop("_held", "_alive", "_born")
+def _orphans(references: DataFrame, key: str, at: str, runs: DataFrame, floor: int | None) -> DataFrame:
+    matched = match_runs(references, key, runs, FACTS)
+    # only keys that can be an orphan for some reference go on
+    first = references.groupBy(key).agg(F.min(at).alias("_first")).dropna(subset=[key])
+    state = state_of(F.col("_held"), F.col("_alive"), F.col("_born"), F.col("_first"))
+    suspect = matched.join(first, key).where(state.isNotNull()).drop("_first")
+    rows = skew_join(references.where(F.col(key).isNotNull()), suspect, [key], "inner", floor)
+    return rows.withColumn("state", state_of(F.col("_held"), F.col("_alive"), F.col("_born"), F.col(at))).where("state is not null").drop("_held", *FACTS)

@@ -123,7 +123,7 @@ def index_liveness(spark: SparkSession, d: str) -> DataFrame:
     return L.ref_liveness(members, listed, p.where("dead is not null").select(F.col("name").alias("pack")))
 
 
-@R.query("collectable_packs", f"""with {PACK_SQL}, live as (select pack n from ochunk where pack is not null union select name from p where dead > {NOW - 30 * 86400})
+@R.query("collectable_packs", f"""with {PACK_SQL}, live as (select pack n from ochunk where pack is not null union select name from p where dead > {NOW - GRACE})
 select name, size from p where name not in (select n from live) and {NS_SQL} // 1000000000 <= {NOW - GRACE}""")
 def collectable_packs(spark: SparkSession, d: str) -> DataFrame:
     """Packs that no chunk needs and no young condemnation protects."""
@@ -136,7 +136,7 @@ def _objects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _retained(spark: SparkSession, d: str) -> DataFrame:
-    """The union of what chunks name and what was condemned less than GRACE ago; the SQL still has 30 days.
+    """The union of what chunks name and what was condemned less than GRACE ago.
 
     Without any chunk that names a pack there are no refs to go by, and the sweep is refused.
     """
@@ -146,7 +146,7 @@ def _retained(spark: SparkSession, d: str) -> DataFrame:
     return named.unionByName(packs(spark, d).where(F.col("dead") > NOW - GRACE).select("name")).distinct()
 
 
-@R.query("space_report", f"""with {PACK_SQL}, live as (select pack n from ochunk where pack is not null union select name from p where dead > {NOW - 30 * 86400}),
+@R.query("space_report", f"""with {PACK_SQL}, live as (select pack n from ochunk where pack is not null union select name from p where dead > {NOW - GRACE}),
 x as (select size, name in (select n from live) held, coalesce({NS_SQL} // 1000000000 <= {NOW - GRACE}, false) old from p)
 select cast(count(*) as bigint) as scanned, cast(count(*) filter (held) as bigint) as retained, cast(count(*) filter (not held and not old) as bigint) as young,
 cast(count(*) filter (not held and old) as bigint) as candidates, cast(coalesce(sum(size) filter (not held and old), 0) as bigint) as bytes from x""")
@@ -160,11 +160,11 @@ def pack_times(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query("ledger_carry", f"""with {PACK_SQL}, listed as (select distinct pack n from ochunk where generation = (select max(generation) from ochunk)),
-old as (select name, dead seen from p where dead is not null and name not in (select n from listed where n is not null) and {NOW} - dead < 2592000),
+old as (select name, dead seen from p where dead is not null and name not in (select n from listed where n is not null) and {NOW} - dead < {GRACE}),
 new as (select name, {NOW} seen from p where dead is null and generation = (select min(generation) from p) and name not in (select n from listed where n is not null) and name not in (select name from old))
 select name, cast(seen as bigint) as "at" from (select * from old union all select * from new)""")
 def ledger_carry(spark: SparkSession, d: str) -> DataFrame:
-    """The ledger of the next generation, which drops the packs of the first one; the SQL still carries rows for 30 days."""
+    """The ledger of the next generation, which drops the packs of the first one."""
     p = packs(spark, d)
     first = p.agg(F.min("generation")).first()[0]
     c = table(spark, d, "ochunk")

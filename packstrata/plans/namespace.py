@@ -9,6 +9,7 @@ from packstrata.functions import scalar as S
 from packstrata.operators import namespace as N
 from packstrata.operators.hierarchy import hierarchy
 from packstrata.operators.journal import standing
+from packstrata.operators.orphans import match_runs
 from packstrata.plans.adapters import CHUNKREF_SQL, chunkrefs, newest
 from packstrata.plans.problems import STANDING
 from packstrata.plans.registry import Registry
@@ -149,24 +150,21 @@ def subtree_weights(spark: SparkSession, d: str) -> DataFrame:
     return N.subtree_weights(table(spark, d, "edge"), head(spark, d))
 
 
-@R.query("change_scope", f"""with recursive {EDGE_SQL}, dirty as (select distinct inode from ojournal where op in (1, 2, 4) and inode in (select inode from edge)),
-up(inode) as (select inode from dirty union select e.parent from e join up on up.inode = e.inode)
-select inode from up""")
+SCOPE_SQL = f"""{EDGE_SQL}, {STANDING}, dirty as (select distinct inode from st), up(inode) as (select inode from dirty union select e.parent from e join up on up.inode = e.inode where e.parent is not null)"""
+
+
+@R.query("change_scope", f"with recursive {SCOPE_SQL} select inode from up")
 def change_scope(spark: SparkSession, d: str) -> DataFrame:
-    """Inodes that journals touch, with every directory above them."""
-    edge = table(spark, d, "edge")
-    dirty = table(spark, d, "ojournal").where("op in (1, 2, 4)").select("inode").distinct().join(edge.select("inode"), "inode", "left_semi")
-    return N.ancestors_of(edge, dirty)
+    """Inodes that standing operations of any kind touch, with every directory above them."""
+    return N.ancestors_of(table(spark, d, "edge"), _journalled(spark, d))
 
 
-@R.query("unchanged_entries", f"""with recursive {EDGE_SQL}, dirty as (select distinct inode from ojournal where op = 4 and inode in (select inode from edge)),
-up(inode) as (select inode from dirty union select e.parent from e join up on up.inode = e.inode)
-select parent, name, inode from e where parent not in (select inode from up)""")
+@R.query("unchanged_entries", f"with recursive {SCOPE_SQL} select parent, name, inode from e where parent not in (select inode from up)")
 def unchanged_entries(spark: SparkSession, d: str) -> DataFrame:
     """Entries outside the scope of all standing operations: their catalogs are carried over.
 
     While ``unplaced_inodes`` has rows the scope has a hole, and a caller must
-    walk everything instead. The SQL still takes adopted inodes only.
+    walk everything instead.
     """
     edge = table(spark, d, "edge")
     return N.outside_scope(edge, N.ancestors_of(edge, _journalled(spark, d))).select("parent", "name", "inode")
@@ -212,17 +210,17 @@ def newest_attributes(spark: SparkSession, d: str) -> DataFrame:
     return newest(table(spark, d, "node"), ["inode"], ["generation"]).select("inode", "generation", "mode", "length")
 
 
-@R.query("shard_routing", """with lo as (select inode >> 12 s, min(inode) first_inode, max(inode) last_inode from node where inode is not null group by 1)
+@R.query("shard_routing", """with lo as (select inode >> 40 l, case when (inode >> 40) % 2 = 1 then inode >> 20 else inode >> 12 end s, min(inode) first_inode, max(inode) last_inode from node where inode is not null group by 1, 2)
 select distinct e.inode, s.first_inode, s.last_inode from edge e left join lo s on e.inode between s.first_inode and s.last_inode where e.inode is not null""")
 def shard_routing(spark: SparkSession, d: str) -> DataFrame:
     """The shard, a range of inodes, that answers for each entry's inode.
 
-    A range join without pairs: shards and inodes are sorted together by block
-    of keys, and each inode takes the shard start that precedes it.
+    A range join without pairs: shards and inodes are sorted together, and each
+    inode takes the shard start that precedes it. Shards of odd lineages are
+    2^20 inodes wide, others 2^12.
     """
-    from packstrata.operators.orphans import match_runs
-
     n = table(spark, d, "node").where("inode is not null")
-    shards = n.groupBy(F.shiftright("inode", 12).alias("_s")).agg(F.min("inode").alias("_from"), F.max("inode").alias("_to"))
-    runs = shards.select(F.shiftright("_from", 16).alias("_block"), "_from", "_to", F.col("_from").alias("first_inode"), F.col("_to").alias("last_inode"))
+    width = F.when(S.lineage_of(F.col("inode")) % 2 == 1, F.shiftright("inode", 20)).otherwise(F.shiftright("inode", 12))
+    shards = n.groupBy(S.lineage_of(F.col("inode")).alias("_l"), width.alias("_s")).agg(F.min("inode").alias("_from"), F.max("inode").alias("_to"))
+    runs = shards.select("_from", "_to", F.col("_from").alias("first_inode"), F.col("_to").alias("last_inode"))
     return match_runs(table(spark, d, "edge"), "inode", runs, ["first_inode", "last_inode"]).drop("_held")

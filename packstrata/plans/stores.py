@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packstrata.plans.problems import R as PROBLEMS
 from packstrata.plans.registry import Registry
-from packstrata.session import shared_folder
+from packstrata.session import fresh_folder
 from packstrata.sources import objects as O
 from packstrata.sources.generations import Store
 from packstrata.sources.tables import table
 from packstrata.streaming.journal import JournalLog, journal_stream
 
 R = Registry()
+OP_NAMES = {1: "place", 2: "truncate", 3: "forget", 4: "adopt"}
 
 
 def fresh(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    return fresh_folder(spark, "store")
 
 
 @R.query("publish_and_travel", "select name, size, generation, 0 as at_generation from (select distinct name, size, generation from pack) union all select name, size, generation, 1 from (select distinct name, size, generation from pack) where generation > (select min(generation) from pack)")
@@ -42,12 +41,15 @@ def pack_files(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
-@R.query("plan_text", "select 'place' as op, cast(inode as varchar) as path, cast(fileoff as varchar) as off, cast(length as varchar) as len from ojournal where op = 1 and inode is not null and fileoff is not null and length is not null")
+@R.query("plan_text", """select case op when 1 then 'place' when 2 then 'truncate' when 3 then 'forget' when 4 then 'adopt' else 'op' || coalesce(cast(op as varchar), '?') end as op, coalesce(cast(inode as varchar), '?') as path,
+cast(handle as varchar) as handle, cast(fileoff as varchar) as off, cast(length as varchar) as len from ojournal""")
 def plan_text(spark: SparkSession, d: str) -> DataFrame:
-    """Journal operations as lines of a plan, parsed again."""
-    j = table(spark, d, "ojournal").where("op = 1 and inode is not null and fileoff is not null and length is not null")
-    lines = j.select(F.format_string("place %s off=%s len=%s", F.col("inode").cast("string"), F.col("fileoff").cast("string"), F.col("length").cast("string")).alias("value"))
-    return O.parse_plan(lines).select("op", "path", F.col("args")["off"].alias("off"), F.col("args")["len"].alias("len"))
+    """Every journal row, of any operation, as a line of a plan, parsed again; what a row lacks is no argument."""
+    j = table(spark, d, "ojournal")
+    word = F.coalesce(F.create_map(*(F.lit(x) for kv in OP_NAMES.items() for x in kv))[F.col("op")], F.concat(F.lit("op"), F.coalesce(F.col("op").cast("string"), F.lit("?"))))
+    args = [F.concat(F.lit(f"{k}="), F.col(c).cast("string")) for k, c in (("handle", "handle"), ("off", "fileoff"), ("len", "length"))]
+    lines = j.select(F.concat_ws(" ", word, F.coalesce(F.col("inode").cast("string"), F.lit("?")), *args).alias("value"))
+    return O.parse_plan(lines).select("op", "path", *(F.col("args")[k].alias(k) for k in ("handle", "off", "len")))
 
 
 @R.query("streamed_content_map", PROBLEMS.sql["p6_found"])

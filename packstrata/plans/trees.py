@@ -34,9 +34,9 @@ def merged_records(spark: SparkSession, d: str) -> DataFrame:
     return I.in_order(both, ["pack"], [F.col("off"), F.col("key")])
 
 
-@R.query("index_windows", """with k as (select distinct key, substr(lower(hex(key)), 1, 2) b from pack_entry), s as (select b, key, row_number() over (partition by b order by key) - 1 n from k), m as (select b, key, n from s where n % 8 = 0),
-q as (select distinct identity, substr(lower(hex(identity)), 1, 2) b from dedup_chunk where identity is not null)
-select q.identity, max(m.key) as sample, cast(max(m.n) as bigint) as place from q left join m on m.b = q.b and m.key <= q.identity group by 1""")
+@R.query("index_windows", """with m as (select key, n from (select key, row_number() over (order by key) - 1 n from (select distinct key from pack_entry where key is not null)) where n % 8 = 0),
+q as (select distinct identity from dedup_chunk where identity is not null)
+select q.identity, m.key as sample, cast(m.n as bigint) as place from q asof left join m on q.identity >= m.key""")
 def index_windows(spark: SparkSession, d: str) -> DataFrame:
     """Where the search for each incoming chunk key begins in the sorted table of entries, by every eighth key."""
     samples = I.sampled(table(spark, d, "pack_entry"), "key", 8)
@@ -133,16 +133,16 @@ def generation_diff(spark: SparkSession, d: str) -> DataFrame:
     return M.difference(at(lo), at(hi), ["inode"], ["length", "mtime_ns"], ["mode", "uid", "gid"])
 
 
-OVERLAY_SQL = f"""{STANDING}, dl as (select inode, max_by(op, (session_id, seq)) op, max(case when op = 1 then fileoff + length when op in (2, 4) then length end) top from st group by 1),
+# the rule: an exact set (TRUNCATE, ADOPT; FORGET is a set to nothing) decides, and PLACE ends after it raise it
+OVERLAY_SQL = f"""{STANDING}, o as (select *, row_number() over (partition by inode order by session_id, seq) k from st),
+l as (select inode, max(k) filter (op <> 1) k, max_by(op, k) op from o group by 1),
 h as (select distinct inode, length from node where generation = (select max(generation) from node))"""
 
 
-@R.query("overlay_view", f"""with {OVERLAY_SQL} select inode, length from h where inode not in (select inode from dl) union all select inode, top from dl where op <> 3""")
+@R.query("overlay_view", f"""with {OVERLAY_SQL} select inode, length from h where inode not in (select inode from st) union all
+select o.inode, cast(max(case when o.op = 1 and o.k > coalesce(l.k, 0) then o.fileoff + o.length when o.op in (2, 4) and o.k = l.k then o.length else 0 end) as bigint) from o join l on l.inode = o.inode where l.op <> 3 group by 1""")
 def overlay_view(spark: SparkSession, d: str) -> DataFrame:
-    """The head under the journals' delta: forgotten inodes are tombstones, others have the length their operations leave.
-
-    The SQL still takes the farthest byte ever written, which no truncation lowers.
-    """
+    """The head under the journals' delta: forgotten inodes are tombstones, others have the length their operations leave."""
     node = table(spark, d, "node")
     head = node.where(F.col("generation") == F.lit(node.agg(F.max("generation")).first()[0])).select("inode", "length").distinct()
     return M.overlay(head, sizes_left(table(spark, d, "ojournal"), ["inode"], ["session_id", "seq"]), ["inode"], ~F.col("present")).select("inode", "length")

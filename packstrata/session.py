@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -31,8 +32,10 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see; the session's setting decides.
 
-    Only where the setting is absent (tests, a laptop) a folder of our own is
-    made and recorded in the session, so that it is found again.
+    Only where the setting is absent and the master is local (tests, a laptop) a
+    folder of our own is made and recorded in the session, so that it is found
+    again. On a cluster a folder of this machine would be another one on every
+    executor, so there the setting is required.
     """
     for read in (lambda: spark.conf.get(CHECKPOINT_KEY, None), lambda: spark.sparkContext.getConf().get(CHECKPOINT_KEY)):
         try:
@@ -40,6 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
                 return found.rstrip("/")
         except Exception:  # noqa: BLE001 - a key that a session refuses to show counts as absent
             continue
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="packstrata-")
     os.makedirs(own.removeprefix("file://"), exist_ok=True)
     spark.conf.set(CHECKPOINT_KEY, own)
@@ -49,6 +54,18 @@ def shared_folder(spark: SparkSession) -> str:
 _MADE: list[str] = []
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Tasks of a shuffle: the cluster's setting, which grows with the cluster and the data."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below the shared one, which ``clear_scratch`` deletes."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage and survive lost executors.
 
@@ -59,9 +76,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.base = f"{shared_folder(spark)}/packstrata-{uuid.uuid4().hex}"
+        self.base = fresh_folder(spark, "packstrata")
         self.made = 0
-        _MADE.append(self.base)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.made}"
@@ -71,6 +87,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def keep_counted(self, df: DataFrame, count: Column) -> tuple[DataFrame, int]:
+        """As ``keep``, with a sum over the rows that is taken while they are written; 0 of no rows."""
+        seen = Observation()
+        kept = self.keep(df.observe(seen, F.coalesce(F.sum(count), F.lit(0)).cast("long").alias("n")))
+        return kept, seen.get["n"]
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in tables:
