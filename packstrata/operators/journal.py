@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packstrata.operators.skew import hot_bounds, saturated_sum, skew_join, tile_of
+from packstrata.operators.skew import hot_bounds, listed_join, most_tiles, saturated_sum, skew_join, tile_of
 from packstrata.session import Scratch, ship
 
 PLACE, TRUNCATE, FORGET, ADOPT = 1, 2, 3, 4
@@ -51,9 +53,11 @@ def place_end() -> Column:
     return saturated_sum(F.col("fileoff"), F.col("length"))
 
 
-def _resolve(rows: list[tuple]) -> list[tuple[int, int, int]]:
+def _resolve(rows: Iterable[tuple]) -> list[tuple[int, int, int]]:
     """Pieces (lo, hi, handle) that survive of operations given newest first.
 
+    Operations are taken one by one and only until every byte is resolved.
+
     Every byte belongs to the first operation that names it: later ones of the
     list, which are older, only get what is still open. ``los``/``his`` hold
     the resolved ranges, disjoint and merged, so each operation is placed in
@@ -95,20 +99,26 @@ def _resolve(rows: list[tuple]) -> list[tuple[int, int, int]]:
     return joined
 
 
-def _state(ops: list[tuple]) -> tuple[bool, int]:
-    """Whether an inode is present, and its size, from its operations newest first."""
-    if ops[0][0] == FORGET:
-        return False, 0
-    size = 0
-    for op, off, length, _ in ops:
-        if op == PLACE:
-            size = max(size, min(off + length, END))
-        else:
-            return True, size if op == FORGET else max(size, length)
-    return True, size
+class _Size:
+    """Whether an inode is present, and its size, from its operations newest first, as they pass by."""
+
+    def __init__(self) -> None:
+        self.present: bool | None = None
+        self.size, self.exact = 0, False
 
+    def watch(self, ops: Iterable[tuple]) -> Iterator[tuple]:
+        for op, off, length, handle in ops:
+            if self.present is None:
+                self.present = op != FORGET
+            if not self.exact:
+                if op == PLACE:
+                    self.size = max(self.size, min(off + length, END))
+                else:
+                    self.size, self.exact = self.size if op == FORGET else max(self.size, length), True
+            yield op, off, length, handle
 
-def _ranges(ops: list[tuple]) -> Iterator[tuple]:
+
+def _ranges(ops: Iterable[tuple]) -> Iterator[tuple]:
     """Operations as ranges; a handle of None resolves bytes to nothing."""
     for op, off, length, handle in ops:
         if op == PLACE:
@@ -127,7 +137,7 @@ def _ranges(ops: list[tuple]) -> Iterator[tuple]:
 def sizes_left(journal: DataFrame, keys: list[str], order: list[str], floor: int | None = None) -> DataFrame:
     """keys, present and length that the standing operations of each key leave, applied in ``order``.
 
-    As ``_state``, by aggregation: TRUNCATE and ADOPT set the length, FORGET
+    As ``_Size``, by aggregation: TRUNCATE and ADOPT set the length, FORGET
     resets it, and a PLACE after the last of these raises it to its end.
     """
     ops = standing(journal)
@@ -144,19 +154,11 @@ MAP_SCHEMA = "session_id long, inode long, file_size long, fileoff long, length
 _ARROW = pa.schema([pa.field(c, pa.int64()) for c in ("session_id", "inode", "file_size", "fileoff", "length", "handle")])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Groups of rows with equal first ``width`` columns of a sorted partition; one group is held at a time."""
-    key, rows = None, []
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns, strict=True):
-            if row[:width] != key:
-                if rows:
-                    yield key, rows
-                key, rows = row[:width], []
-            rows.append(row[width:])
-    if rows:
-        yield key, rows
+def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Groups of rows with equal first ``width`` columns of a sorted partition, each a stream; what is left of one is passed over."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for key, group in groupby(rows, key=itemgetter(*range(width))):
+        yield key, (row[width:] for row in group)
 
 
 def _emit(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -173,14 +175,14 @@ def _emit(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 def _apply_inodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         for (session, inode), ops in _groups(batches, 2):
-            present, size = _state(ops)
-            if not present:
+            seen = _Size()
+            pieces = _resolve(_ranges(seen.watch(ops)))
+            if not seen.present:
                 continue
-            pieces = _resolve(_ranges(ops))
             for lo, hi, handle in pieces:
-                yield session, inode, size, lo, hi - lo, handle
+                yield session, inode, seen.size, lo, hi - lo, handle
             if not pieces:
-                yield session, inode, size, 0, 0, 0
+                yield session, inode, seen.size, 0, 0, 0
 
     return _emit(rows())
 
@@ -209,33 +211,55 @@ def content_map(journal: DataFrame, floor: int | None = None, tiles: int | None
     ADOPT resolve bytes to nothing, as tombstones do. Work on an inode ends as
     soon as everything is resolved.
 
-    Inodes of many operations are split into tiles of the byte range by cut
-    points of their offsets. An operation goes to the tiles in which it begins
-    or ends; of those it covers fully only the newest per tile matters, which
-    an aggregation with map-side combine finds. Pieces are joined again across
-    tile borders. So no task holds more than a tile of an inode.
+    Inodes of more operations than an average task takes are split into tiles
+    of the byte range, as many as their operations fill tasks, at offsets and
+    ends of operations. An operation goes to the tiles in which it begins or
+    ends; of those that cover a tile wholly only the newest matters, which an
+    aggregation with map-side combine finds. Pieces are joined again across
+    tile borders. A task streams operations and holds only what an inode, or a
+    tile of one, has resolved so far.
 
     Returns session_id, inode, file_size, fileoff, length, handle: a row for
     each contiguous piece of a handle; an inode present without extents has one
     row with zeros. Ends beyond the largest long are held there. Empty journals
-    give no rows; see ``standing`` for what is ignored.
+    give no rows; see ``standing`` for what is ignored. Runs jobs while it is
+    called.
     """
     ship(journal.sparkSession)
-    ops = standing(journal).select(*KEYS, "seq", "op", F.coalesce("fileoff", F.lit(0)).alias("fileoff"), F.coalesce("length", F.lit(0)).alias("length"), "handle")
-    cuts = hot_bounds(journal.where(whole()), KEYS, {"_cuts": F.coalesce("fileoff", F.lit(0))}, floor, tiles)
-    cold = ops if cuts is None else ops.join(F.broadcast(cuts.select(*KEYS)), KEYS, "left_anti")
+    scratch = Scratch(journal.sparkSession)
+    ops = scratch.keep(standing(journal).select(*KEYS, "seq", "op", F.coalesce("fileoff", F.lit(0)).alias("fileoff"), F.coalesce("length", F.lit(0)).alias("length"), "handle"))
+    begins = F.when(F.col("op") == PLACE, F.col("fileoff")).when(F.col("op") == TRUNCATE, F.col("length"))
+    ends = F.when(F.col("op") == PLACE, place_end()).when(F.col("op") == ADOPT, F.col("length"))
+    cuts = hot_bounds(ops, KEYS, {"_los": begins, "_his": ends}, floor, tiles)
+    if cuts is None:
+        return _in_order(ops, KEYS, ["seq"], ["op", "fileoff", "length", "handle"]).mapInArrow(_apply_inodes, MAP_SCHEMA)
+    size = cuts.count()
+    cuts = cuts.select(*KEYS, F.array_sort(F.array_union("_los", "_his")).alias("_cuts"))
+    cold = listed_join(ops, cuts.select(*KEYS), size, KEYS, "left_anti")
     done = _in_order(cold, KEYS, ["seq"], ["op", "fileoff", "length", "handle"]).mapInArrow(_apply_inodes, MAP_SCHEMA)
-    return done if cuts is None else done.unionByName(_hot_map(ops, cuts))
+    return done.unionByName(_hot_map(ops, cuts, size, scratch))
 
 
-def _hot_map(ops: DataFrame, cuts: DataFrame) -> DataFrame:
-    scratch = Scratch(ops.sparkSession)
-    hot = scratch.keep(ops.join(F.broadcast(cuts.select(*KEYS)), KEYS, "left_semi"))
+def _covers(first: Column, last: Column, leaves: int) -> Column:
+    """The nodes of a binary tree over ``leaves`` tiles (a power of two; leaves are numbered from ``leaves``) that make up tiles first to last.
 
-    last = hot.where(F.col("op") != PLACE).groupBy(*KEYS).agg(F.max(F.struct("seq", "op", "length")).alias("_set"))
+    At each level at most the leftmost and the rightmost node of what is left
+    are taken; their parents span the rest.
+    """
+    found = []
+    for k in range(leaves.bit_length()):
+        lo, hi = F.shiftright(first + F.lit(leaves + (1 << k) - 1), k), F.shiftright(last + F.lit(leaves + 1), k)
+        found += [F.when((lo < hi) & (lo % 2 == 1), lo), F.when((lo < hi) & (hi % 2 == 1), hi - 1)]
+    return F.array_compact(F.array_distinct(F.array(*found)))
+
+
+def _hot_map(ops: DataFrame, cuts: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    hot = listed_join(ops, cuts.select(*KEYS), size, KEYS, "left_semi")
+    last = scratch.keep(hot.where(F.col("op") != PLACE).groupBy(*KEYS).agg(F.max(F.struct("seq", "op", "length")).alias("_set"), F.max(F.when(F.col("op").isin(FORGET, ADOPT), F.col("seq"))).alias("_reset")))
+    # nothing from before the last FORGET or ADOPT is left
+    hot = scratch.keep(listed_join(hot, last, size, KEYS, "left").where(F.col("_reset").isNull() | (F.col("seq") >= F.col("_reset"))).drop("_reset"))
     sizes = (
-        hot.join(F.broadcast(last), KEYS, "left")  # at most HOT_LIMIT rows
-        .groupBy(*KEYS)
+        hot.groupBy(*KEYS)
         .agg(
             F.max("seq").alias("_seq"), F.first("_set").alias("_set"),
             F.max(F.when((F.col("op") == PLACE) & (F.col("seq") > F.coalesce("_set.seq", F.lit(-END))), place_end())).alias("_raised"),
@@ -253,29 +277,40 @@ def _hot_map(ops: DataFrame, cuts: DataFrame) -> DataFrame:
         .when(F.col("op") == FORGET, F.array(span(HOLE, zero, end, 0)))
         .otherwise(F.array(span(PLACE, zero, F.col("length"), 1), span(HOLE, zero, end, 0)))
     )
-    tiled = (
-        hot.select(*KEYS, "seq", "handle", F.inline(ranges)).where("lo < hi")
-        .join(F.broadcast(cuts), KEYS)
-        .withColumn("_first", tile_of(F.col("lo"), "_cuts")).withColumn("_last", tile_of(F.col("hi") - 1, "_cuts"))
-        .select("*", F.explode(F.sequence("_first", "_last")).alias("tile"))
-        # tile t is [cuts[t-1], cuts[t]) in positions from 0; the outer ones are open
-        .withColumn("_lo", F.when(F.col("tile") == 0, zero).otherwise(F.get("_cuts", F.col("tile") - 1)))
-        .withColumn("_hi", F.coalesce(F.get("_cuts", F.col("tile")), end))
-        .withColumn("_full", (F.col("lo") <= F.col("_lo")) & (F.col("hi") >= F.col("_hi")))
-        .withColumn("lo", F.greatest("lo", "_lo")).withColumn("hi", F.least("hi", "_hi"))
-        .select(*KEYS, "tile", "seq", "sub", "op", "lo", "hi", "handle", "_full")
+    most = most_tiles(cuts, "_cuts")
+    leaves = 1 << (most - 1).bit_length()
+    # tile t is [cuts[t-1], cuts[t]) in positions from 0; the outer ones are open
+    tile_lo = lambda t: F.when(t == 0, zero).otherwise(F.get("_cuts", t - 1))
+    tile_hi = lambda t: F.coalesce(F.get("_cuts", t), end)
+    first, final, from_first, to_final = F.col("_first"), F.col("_final"), F.col("_from_first"), F.col("_to_final")
+    one = (first == final) & ~(from_first & to_final)
+    spread = (
+        listed_join(hot.select(*KEYS, "seq", "handle", F.inline(ranges)).where("lo < hi"), cuts, size, KEYS)
+        .withColumns({"_first": tile_of(F.col("lo"), "_cuts", most), "_final": tile_of(F.col("hi") - 1, "_cuts", most)})
+        .withColumns({"_from_first": F.col("lo") <= tile_lo(first), "_to_final": F.col("hi") >= tile_hi(final)})
+    )
+    ends = F.array_compact(F.array(F.when(~from_first | one, first), F.when(~to_final & (first != final), final)))
+    partial = (
+        spread.withColumn("tile", F.explode(ends))
+        .withColumns({"lo": F.greatest("lo", tile_lo(F.col("tile"))), "hi": F.least("hi", tile_hi(F.col("tile")))})
+        .select(*KEYS, "tile", "seq", "sub", "op", "lo", "hi", "handle")
     )
+    # of what covers tiles wholly, the newest of each node of a tree over the tiles, and then of each tile
+    newest = F.max(F.struct("seq", "sub", "op", "handle")).alias("_x")
+    nodes = spread.select(*KEYS, "seq", "sub", "op", "handle", F.explode(_covers(F.when(from_first, first).otherwise(first + 1), F.when(to_final, final).otherwise(final - 1), leaves)).alias("_node")).groupBy(*KEYS, "_node").agg(newest)
+    levels = F.array(*(F.shiftright(F.col("tile") + F.lit(leaves), k) for k in range(leaves.bit_length())))
+    tiles = cuts.select(*KEYS, "_cuts", F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("tile")).select(*KEYS, "tile", tile_lo(F.col("tile")).alias("lo"), tile_hi(F.col("tile")).alias("hi"), F.explode(levels).alias("_node"))
     fields = ["seq", "sub", "op", "lo", "hi", "handle"]
-    newest = tiled.where("_full").groupBy(*KEYS, "tile").agg(F.max(F.struct(*fields)).alias("_x")).select(*KEYS, "tile", "_x.*")
-    rows = tiled.where("not _full").select(*KEYS, "tile", *fields).unionByName(newest)
+    whole_tiles = tiles.join(nodes, [*KEYS, "_node"]).groupBy(*KEYS, "tile", "lo", "hi").agg(F.max("_x").alias("_x")).select(*KEYS, "tile", "_x.seq", "_x.sub", "_x.op", "lo", "hi", "_x.handle")
+    rows = partial.unionByName(whole_tiles)
     pieces = _in_order(rows.select(*KEYS, "tile", "seq", "sub", "op", "lo", (F.col("hi") - F.col("lo")).alias("len"), "handle"), [*KEYS, "tile"], ["seq", "sub"], ["op", "lo", "len", "handle"])
     pieces = scratch.keep(
         pieces.select(*KEYS, F.col("tile").cast("long").alias("tile"), "op", "lo", "len", "handle").mapInArrow(_apply_tiles, MAP_SCHEMA).withColumnRenamed("file_size", "tile")
     )
 
-    # pieces that touch a border of their tile: at most two a tile of at most HOT_LIMIT inodes
-    at = pieces.join(F.broadcast(cuts), KEYS).withColumn("_end", F.col("fileoff") + F.col("length"))
-    border = F.coalesce(F.array_contains("_cuts", F.col("fileoff")) | F.array_contains("_cuts", F.col("_end")), F.lit(False))
+    # pieces that touch a border of their tile: at most two a tile
+    at = listed_join(pieces, cuts, size, KEYS).withColumns({"_end": F.col("fileoff") + F.col("length"), "tile": F.col("tile").cast("int")})
+    border = (F.col("fileoff") == tile_lo(F.col("tile"))) | (F.col("_end") == tile_hi(F.col("tile")))
     inner = at.where(~border).select(*KEYS, "fileoff", "length", "handle")
     w = Window.partitionBy(*KEYS).orderBy("fileoff")
     new = F.coalesce((F.lag("_end").over(w) != F.col("fileoff")) | (F.lag("handle").over(w) != F.col("handle")), F.lit(True))
@@ -284,7 +319,7 @@ def _hot_map(ops: DataFrame, cuts: DataFrame) -> DataFrame:
         .groupBy(*KEYS, "_run").agg(F.min("fileoff").alias("fileoff"), F.sum("length").alias("length"), F.first("handle").alias("handle"))
         .select(*KEYS, "fileoff", "length", "handle")
     )
-    found = inner.unionByName(seams).join(F.broadcast(sizes), KEYS)
+    found = listed_join(inner.unionByName(seams), sizes, size, KEYS)
     bare = sizes.join(pieces.select(*KEYS).distinct(), KEYS, "left_anti").withColumns({c: F.lit(0).cast("long") for c in ("fileoff", "length", "handle")})
     columns = [*KEYS, "file_size", "fileoff", "length", "handle"]
     return found.select(*columns).unionByName(bare.select(*columns))

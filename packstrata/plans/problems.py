@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packstrata.operators.hierarchy import hierarchy
 from packstrata.operators.intervals import periods_and_gaps
-from packstrata.operators.journal import PLACE, content_map, place_end, standing, whole
+from packstrata.operators.journal import PLACE, content_map, place_end, standing
 from packstrata.operators.orphans import integer_orphans, keyed_orphans
 from packstrata.operators.skew import skew_join
 from packstrata.operators.snapshots import snapshot_changes
@@ -39,9 +39,8 @@ select session_id, inode, 'run' as kind, lo as from_off, hi as to_off from r
 union all select session_id, inode, 'gap', lo, hi from g where lo is not null""")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Covered ranges of PLACE operations and the holes between them, per session and inode."""
-    journal = table(spark, d, "ojournal")
-    ranges = lambda x: x.where((F.col("op") == PLACE) & (F.col("length") > 0)).select("session_id", "inode", F.col("fileoff").alias("lo"), place_end().alias("hi"))
-    return periods_and_gaps(ranges(standing(journal)), ["session_id", "inode"], "lo", "hi", probe=ranges(journal.where(whole())))
+    places = standing(table(spark, d, "ojournal")).where((F.col("op") == PLACE) & (F.col("length") > 0))
+    return periods_and_gaps(places.select("session_id", "inode", F.col("fileoff").alias("lo"), place_end().alias("hi")), ["session_id", "inode"], "lo", "hi")
 
 
 @R.query("p2_found", """
