@@ -14,38 +14,47 @@ from pyspark.sql import functions as F
 from packstrata.session import Scratch, parallelism
 
 
-def _ranged(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """``rows`` in ranges of ``key``, with their part; equal keys share a part."""
-    return scratch.keep(rows.repartitionByRange(parallelism(rows.sparkSession), key).withColumn("_part", F.spark_partition_id()))
+def _ranged(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` in ranges of ``keys``, with their part; equal keys share a part."""
+    return scratch.keep(rows.repartitionByRange(parallelism(rows.sparkSession), *keys).withColumn("_part", F.spark_partition_id()))
 
 
-def asof(probes: DataFrame, key: str, starts: DataFrame, start: str, payload: list[str]) -> DataFrame:
+def asof(probes: DataFrame, key: str, starts: DataFrame, start: str, payload: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
     """Each distinct non-null ``key`` of ``probes`` with ``payload`` of the greatest ``start`` at or below it.
 
-    Payload columns are null where no start is at or below the key. Null starts
-    are ignored; of equal starts the greatest payload counts. ``key`` and
-    ``start`` have one type, of any kind that has an order. Runs a job.
+    With ``by``, columns of both tables, keys and starts of each group are
+    matched on their own. Payload columns are null where no start is at or
+    below the key. Null starts are ignored; of equal starts the greatest
+    payload counts. ``key`` and ``start`` have one type, of any kind that has
+    an order. Runs a job.
     """
     scratch = Scratch(probes.sparkSession)
-    entry = F.struct(F.col(start).alias("_at"), *payload)
+    entry = F.struct(*by, F.col(start).alias("_at"), *payload)
     shape = starts.select(entry.alias("_r")).schema["_r"].dataType
-    both = starts.where(F.col(start).isNotNull()).select(F.col(start).alias("_k"), F.lit(0).alias("_side"), entry.alias("_r")).unionByName(
-        probes.select(F.col(key).alias("_k")).dropna().distinct().select("_k", F.lit(1).alias("_side"), F.lit(None).cast(shape).alias("_r"))
+    both = starts.where(F.col(start).isNotNull()).select(*by, F.col(start).alias("_k"), F.lit(0).alias("_side"), entry.alias("_r")).unionByName(
+        probes.select(*by, F.col(key).alias("_k")).where("_k is not null").distinct().select(*by, "_k", F.lit(1).alias("_side"), F.lit(None).cast(shape).alias("_r"))
     )
-    rows = _ranged(both, "_k", scratch)
-    w = Window.partitionBy("_part").orderBy("_k", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _ranged(both, [*by, "_k"], scratch)
+    w = Window.partitionBy("_part").orderBy(*by, "_k", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
     got = rows.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
     # a row a part: the last start of the parts before
     ends = rows.where("_side = 0").groupBy("_part").agg(F.max("_r").alias("_end"))
-    parts = rows.select("_part").distinct().join(ends, "_part", "left")
+    parts = probes.sparkSession.range(parallelism(probes.sparkSession)).select(F.col("id").cast("int").alias("_part")).join(ends, "_part", "left")
     before = parts.select("_part", F.last("_end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     got = got.join(F.broadcast(before), "_part", "left").withColumn("_r", F.coalesce("_r", "_before"))
-    return got.select(F.col("_k").alias(key), *(F.col(f"_r.{p}").alias(p) for p in payload))
+    for b in by:
+        got = got.withColumn("_r", F.when(F.col(f"_r.{b}").eqNullSafe(F.col(b)), F.col("_r")))
+    return got.select(*by, F.col("_k").alias(key), *(F.col(f"_r.{p}").alias(p) for p in payload))
+
+
+def order_bytes(number: Column) -> Column:
+    """Eight bytes of a long whose byte order is the order of the numbers."""
+    return F.unhex(F.lpad(F.hex(number.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
 
 
 def positions(keys: DataFrame, key: str) -> DataFrame:
     """Each distinct non-null ``key`` with ``place``, its number from 0 in the order of all. Runs a job."""
-    rows = _ranged(keys.select(key).dropna().distinct(), key, Scratch(keys.sparkSession))
+    rows = _ranged(keys.select(key).dropna().distinct(), [key], Scratch(keys.sparkSession))
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     own: Column = F.row_number().over(Window.partitionBy("_part").orderBy(key))

@@ -29,8 +29,8 @@ def periods_and_gaps(df: DataFrame, keys: list[str], lo: str, hi: str, floor: in
     Returns keys, kind, from_off, to_off.
     """
     scratch = Scratch(df.sparkSession)
-    rows = scratch.keep(df.select(*keys, F.col(lo).cast("long").alias("_lo"), F.col(hi).cast("long").alias("_hi")).dropna().where("_lo < _hi"))
-    cuts = hot_bounds(rows, keys, {"_los": F.col("_lo"), "_his": F.col("_hi")}, floor, tiles)
+    rows, n = scratch.keep_counted(df.select(*keys, F.col(lo).cast("long").alias("_lo"), F.col(hi).cast("long").alias("_hi")).dropna().where("_lo < _hi"), F.lit(1))
+    cuts = hot_bounds(rows, keys, {"_los": F.col("_lo"), "_his": F.col("_hi")}, floor, tiles, n)
     size = 0 if cuts is None else cuts.count()
     edges = (
         rows.select(*keys, F.inline(F.array(F.struct(F.lit(True).alias("_start"), F.col("_lo").alias("_at")), F.struct(F.lit(False).alias("_start"), F.col("_hi").alias("_at")))))

@@ -227,10 +227,10 @@ def content_map(journal: DataFrame, floor: int | None = None, tiles: int | None
     """
     ship(journal.sparkSession)
     scratch = Scratch(journal.sparkSession)
-    ops = scratch.keep(standing(journal).select(*KEYS, "seq", "op", F.coalesce("fileoff", F.lit(0)).alias("fileoff"), F.coalesce("length", F.lit(0)).alias("length"), "handle"))
+    ops, n = scratch.keep_counted(standing(journal).select(*KEYS, "seq", "op", F.coalesce("fileoff", F.lit(0)).alias("fileoff"), F.coalesce("length", F.lit(0)).alias("length"), "handle"), F.lit(1))
     begins = F.when(F.col("op") == PLACE, F.col("fileoff")).when(F.col("op") == TRUNCATE, F.col("length"))
     ends = F.when(F.col("op") == PLACE, place_end()).when(F.col("op") == ADOPT, F.col("length"))
-    cuts = hot_bounds(ops, KEYS, {"_los": begins, "_his": ends}, floor, tiles)
+    cuts = hot_bounds(ops, KEYS, {"_los": begins, "_his": ends}, floor, tiles, n)
     if cuts is None:
         return _in_order(ops, KEYS, ["seq"], ["op", "fileoff", "length", "handle"]).mapInArrow(_apply_inodes, MAP_SCHEMA)
     size = cuts.count()

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packstrata.operators.asof import asof
-from packstrata.operators.skew import skew_join
+from packstrata.operators.skew import BROADCAST_ROWS, skew_join
+from packstrata.session import Scratch
 
 #: Runs are built per block of so many keys, so that no task orders more than a block.
 BLOCK_BITS = 16
@@ -28,16 +29,16 @@ def key_runs(parents: DataFrame, key: str, facts: list[str]) -> DataFrame:
     return rows.groupBy("_block", "_run").agg(F.min("_key").alias("_from"), F.max("_key").alias("_to"), *(F.first(f).alias(f) for f in facts)).drop("_block", "_run")
 
 
-def match_runs(references: DataFrame, key: str, runs: DataFrame, facts: list[str]) -> DataFrame:
+def match_runs(references: DataFrame, key: str, runs: DataFrame, facts: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
     """Distinct non-null keys of ``references`` with the facts of the run that holds them, or with nulls and _held false.
 
     As-of match: each key takes the run (_from, _to, any width, keys of any
     ordered type) whose start precedes it, and lies beyond that run if it is
     above its end. Of runs that overlap the one that starts last decides.
     """
-    got = asof(references, key, runs, "_from", ["_to", *facts])
+    got = asof(references, key, runs, "_from", ["_to", *facts], by)
     held = F.coalesce(F.col("_to") >= F.col(key), F.lit(False))
-    return got.select(key, held.alias("_held"), *(F.when(held, F.col(f)).alias(f) for f in facts))
+    return got.select(*by, key, held.alias("_held"), *(F.when(held, F.col(f)).alias(f) for f in facts))
 
 
 def state_of(held: Column, alive: Column, born: Column, at: Column) -> Column:
@@ -58,20 +59,31 @@ def integer_orphans(references: DataFrame, key: str, at: str, parents: DataFrame
     References with a null key refer to nothing and are no orphans; a null
     generation is never late.
     """
-    return _orphans(references, key, at, key_runs(parents, key, FACTS), floor)
+    return orphans(references, key, at, key_runs(parents, key, FACTS), [], floor)
 
 
 def keyed_orphans(references: DataFrame, key: str, at: str, parents: DataFrame, floor: int | None = None) -> DataFrame:
-    """As integer_orphans for keys of any ordered type (bytes, text), of which none is next to another: every key is a run of one."""
-    runs = parents.where(F.col(key).isNotNull()).select(F.col(key).alias("_from"), F.col(key).alias("_to"), *FACTS)
-    return _orphans(references, key, at, runs, floor)
+    """As integer_orphans for keys of any ordered type (bytes, text), of which none is next to another."""
+    return orphans(references, key, at, single_runs(parents, key), [], floor)
 
 
-def _orphans(references: DataFrame, key: str, at: str, runs: DataFrame, floor: int | None) -> DataFrame:
-    matched = match_runs(references, key, runs, FACTS)
-    # only keys that can be an orphan for some reference go on
-    first = references.groupBy(key).agg(F.min(at).alias("_first")).dropna(subset=[key])
+def single_runs(parents: DataFrame, key: str) -> DataFrame:
+    """Every non-null key as a run of one: _from, _to, facts."""
+    return parents.where(F.col(key).isNotNull()).select(F.col(key).alias("_from"), F.col(key).alias("_to"), *FACTS)
+
+
+def orphans(references: DataFrame, key: str, at: str, runs: DataFrame, by: list[str], floor: int | None = None) -> DataFrame:
+    """``references`` whose ``key`` no run of the same ``by`` holds in good order, with their state.
+
+    Tables told apart by ``by`` are matched in one pass, each with its own
+    runs. Only keys that some reference finds wanting are joined back to the
+    references. Runs jobs.
+    """
+    scratch = Scratch(references.sparkSession)
+    refs, n = scratch.keep_counted(references.where(F.col(key).isNotNull()), F.lit(1))
+    matched = match_runs(refs, key, runs, FACTS, by)
+    first = refs.groupBy(*by, key).agg(F.min(at).alias("_first"))
     state = state_of(F.col("_held"), F.col("_alive"), F.col("_born"), F.col("_first"))
-    suspect = matched.join(first, key).where(state.isNotNull()).drop("_first")
-    rows = skew_join(references.where(F.col(key).isNotNull()), suspect, [key], "inner", floor)
+    suspect, few = scratch.keep_counted(matched.join(first, [*by, key]).where(state.isNotNull()).drop("_first"), F.lit(1))
+    rows = refs.join(F.broadcast(suspect), [*by, key]) if few <= BROADCAST_ROWS else skew_join(refs, suspect, [*by, key], "inner", floor, n)
     return rows.withColumn("state", state_of(F.col("_held"), F.col("_alive"), F.col("_born"), F.col(at))).where("state is not null").drop("_held", *FACTS)

@@ -77,7 +77,7 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return listed_join(listed_join(left, hot, size, keys, "left_semi"), few, size, keys, how).unionByName(cold)
 
 
-def hot_bounds(df: DataFrame, keys: list[str], values: dict[str, Column], floor: int | None = None, tiles: int | None = None) -> DataFrame | None:
+def hot_bounds(df: DataFrame, keys: list[str], values: dict[str, Column], floor: int | None = None, tiles: int | None = None, rows: int | None = None) -> DataFrame | None:
     """For each hot key, ascending cut points of every one of ``values``: an array column per name. None if no key is hot.
 
     A key gets as many tiles as its rows fill tasks. Cut points come from about
@@ -87,7 +87,9 @@ def hot_bounds(df: DataFrame, keys: list[str], values: dict[str, Column], floor:
     than twice the shuffle partitions for each of ``values``.
     """
     spark = df.sparkSession
-    floor = hot_floor(df) if floor is None else floor
+    floor = hot_floor(df, rows) if floor is None else floor
+    if rows is not None and rows <= floor:
+        return None
     found = _counted(df, keys, floor)
     if not found:
         return None

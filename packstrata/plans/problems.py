@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packstrata.operators.asof import order_bytes
 from packstrata.operators.hierarchy import hierarchy
 from packstrata.operators.intervals import periods_and_gaps
 from packstrata.operators.journal import PLACE, content_map, place_end, standing
-from packstrata.operators.orphans import integer_orphans, keyed_orphans
+from packstrata.operators.orphans import FACTS, key_runs, orphans, single_runs
 from packstrata.operators.skew import skew_join
 from packstrata.operators.snapshots import snapshot_changes
 from packstrata.plans.registry import Registry
@@ -88,24 +89,35 @@ x as (
  from o left join p on p.name = o.pack)
 select * from x where state is not null""")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Orphan references of edge, nested and ochunk with their state, one row for each distinct referring row."""
+    """Orphan references of edge, nested and ochunk with their state, one row for each distinct referring row.
+
+    Inodes are compressed to runs; catalog identities and pack names are runs
+    of one. As bytes in the order of their values, the keys of all three tables
+    are matched in one pass.
+    """
     entry_key = F.concat(F.col("parent").cast("string"), F.lit("/"), F.col("name").cast("string"))
     node, pack = table(spark, d, "node"), table(spark, d, "pack")
     head = node.agg(F.max("generation")).first()[0]
     inodes = node.where("inode is not null").groupBy("inode").agg(F.min("generation").alias("_born"), (F.max("generation") == F.lit(head)).alias("_alive"))
-    edge = table(spark, d, "edge").select("parent", "name", "inode", "type", "generation").distinct()
-    edges = integer_orphans(edge, "inode", "generation", inodes).select(F.lit("edge").alias("table_name"), entry_key.alias("row_key"), "generation", "state")
-
     packs = pack.where("name is not null").groupBy(F.col("name").alias("pack")).agg(F.max("condemned_at_unix").isNull().alias("_alive"), F.min("generation").alias("_born"))
     listed = table(spark, d, "pack_entry").where("type = 'catalog'").select("pack", F.col("key").alias("catalog_identity"))
     live = F.coalesce("_alive", F.lit(False))
     catalogs = skew_join(listed, packs, ["pack"], "left").groupBy("catalog_identity").agg(F.max(live).alias("_alive"), F.min(F.when(live, F.col("_born"))).alias("_born"))
-    nested = table(spark, d, "nested").select("parent", "name", "catalog_identity", "generation").distinct()
-    nesteds = keyed_orphans(nested, "catalog_identity", "generation", catalogs).select(F.lit("nested").alias("table_name"), entry_key.alias("row_key"), "generation", "state")
 
+    edge = table(spark, d, "edge").select("parent", "name", "inode", "type", "generation").distinct()
+    nested = table(spark, d, "nested").select("parent", "name", "catalog_identity", "generation").distinct()
     chunk = table(spark, d, "ochunk").select("identity", "pack", "off", "stored", "logical", "alg", "key_id", "generation").where("pack is not null").distinct()
-    chunks = keyed_orphans(chunk, "pack", "generation", packs).select(F.lit("ochunk").alias("table_name"), F.col("identity").alias("row_key"), "generation", "state")
-    return edges.unionByName(nesteds).unionByName(chunks)
+    refers = lambda rows, name, row_key, key: rows.select(F.lit(name).alias("table_name"), row_key.alias("row_key"), key.cast("binary").alias("key"), "generation")
+    references = (
+        refers(edge, "edge", entry_key, order_bytes(F.col("inode")))
+        .unionByName(refers(nested, "nested", entry_key, F.col("catalog_identity"))).unionByName(refers(chunk, "ochunk", F.col("identity"), F.col("pack")))
+    )
+    held = lambda runs, name, of=F.col: runs.select(F.lit(name).alias("table_name"), of("_from").cast("binary").alias("_from"), of("_to").cast("binary").alias("_to"), "_alive", "_born")
+    runs = (
+        held(key_runs(inodes, "inode", FACTS), "edge", lambda c: order_bytes(F.col(c)))
+        .unionByName(held(single_runs(catalogs, "catalog_identity"), "nested")).unionByName(held(single_runs(packs, "pack"), "ochunk"))
+    )
+    return orphans(references, "key", "generation", runs, ["table_name"]).select("table_name", "row_key", "generation", "state")
 
 
 @R.query("p4_found", """
