@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packstrata.functions.arrow import slices
 from packstrata.session import ship
 
-# Seed and steps of the gear table, and how far the masks are from the average.
-GEAR_SEED = 0x70656C6673763264
+# Steps of the gear table, and how far the masks are from the average. Any seed will do.
+GEAR_SEED = 1
 GOLDEN = 0x9E3779B97F4A7C15
 NORMALIZATION = 2
 _ALL = (1 << 64) - 1
@@ -93,7 +94,7 @@ def _cut(data: bytes, start: int, stop: int, sizes: Sizes, strict: int, loose: i
 
 
 def _chunked(batches: Iterator[pa.RecordBatch], sizes: Sizes) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         rows = []
         for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             at = 0
@@ -118,19 +119,22 @@ def content_chunks(files: DataFrame, key: str, data: str, sizes: Sizes = Sizes()
 
 def fixed_chunks(files: DataFrame, key: str, data: str, size: int) -> DataFrame:
     """Chunks of ``size`` bytes, the last one shorter; built-in expressions only."""
-    n = F.length(F.col(data))
-    cut = files.where(n > 0).select(key, data, F.posexplode(F.sequence(F.lit(0), n - 1, F.lit(size))).alias("idx", "at"))
-    return cut.select(
-        key, F.col("idx").cast("long").alias("idx"), F.col("at").cast("long").alias("off"), F.least(F.lit(size), n - F.col("at")).cast("long").alias("llen"),
-        F.sha2(F.substring(F.col(data), F.col("at") + 1, F.lit(size)), 256).alias("identity"),
-    )
+    return fixed_pieces(files, key, data, size).select(key, "idx", "off", F.length("data").cast("long").alias("llen"), F.sha2("data", 256).alias("identity"))
+
+
+def fixed_pieces(files: DataFrame, key: str, data: str, size: int) -> DataFrame:
+    """key, idx, off and data of every ``size`` bytes. Contents are cut before they are spread over rows, so each byte moves once."""
+    content = F.col(data).cast("binary")
+    pieces = F.transform(F.sequence(F.lit(0), F.length(content) - 1, F.lit(size)), lambda at: F.substring(content, at + 1, F.lit(size)))
+    cut = files.where(F.length(content) > 0).select(key, F.posexplode(pieces).alias("idx", "data"))
+    return cut.select(key, F.col("idx").cast("long").alias("idx"), (F.col("idx").cast("long") * size).alias("off"), "data")
 
 
 def _stored(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     press = zstandard.ZstdCompressor(level=level)
-    for batch in batches:
+    for batch in slices(batches, 1):
         rows = []
         for raw in batch.column(1).to_pylist():
             small = None if raw is None else press.compress(raw)
@@ -149,7 +153,7 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     press = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in slices(batches, 2):
         raw = [None if s is None else press.decompress(s) if a == 1 else s for a, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=[batch.schema.names[0], "data"])
 

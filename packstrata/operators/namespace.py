@@ -135,4 +135,5 @@ def read_range(refs: DataFrame, lo: int, hi: int) -> DataFrame:
     gap = F.col("_a") - F.coalesce(F.lag("_b").over(w), F.lit(lo))
     cut = cut.withColumn("_d", F.concat(zeros(F.greatest(gap, F.lit(0))), F.col("_d")))
     pieces = F.array_sort(F.collect_list(F.struct("_a", "_d")))
-    return cut.groupBy("inode").agg(F.unhex(F.array_join(F.transform(pieces, lambda p: F.hex(p["_d"])), "")).alias("bytes"))
+    joined = F.aggregate(F.transform(pieces, lambda p: p["_d"]), F.lit(b""), lambda a, b: F.concat(a, b))
+    return cut.groupBy("inode").agg(joined.alias("bytes"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packstrata.functions import scalar as S
+from packstrata.functions.chunking import fixed_pieces
 from packstrata.operators import namespace as N
 from packstrata.operators.hierarchy import hierarchy
 from packstrata.operators.journal import standing
@@ -197,11 +198,9 @@ def range_overlap(spark: SparkSession, d: str) -> DataFrame:
 @R.query("read_range", "select doc_id as inode, unhex(substr(hex(encode(text)), 201, 9800)) as bytes from documents where octet_length(encode(text)) > 100")
 def read_range(spark: SparkSession, d: str) -> DataFrame:
     """Bytes [100, 5000) of every text that reaches them, read from chunks of 1,024 bytes."""
-    files = table(spark, d, "documents").where("octet_length(text) > 0").select(F.col("doc_id").alias("inode"), F.col("text").cast("binary").alias("b"))
-    n = F.length("b")
-    chunks = files.select("inode", "b", F.explode(F.sequence(F.lit(0), n - 1, F.lit(1024))).alias("at"))
-    refs = chunks.select("inode", F.col("at").cast("long").alias("off"), F.least(F.lit(1024), n - F.col("at")).cast("long").alias("llen"), F.substring("b", F.col("at") + 1, F.lit(1024)).alias("data"))
-    return N.read_range(refs, 100, 5000)
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("inode"), F.col("text").cast("binary").alias("b"))
+    pieces = fixed_pieces(files, "inode", "b", 1024)
+    return N.read_range(pieces.select("inode", "off", F.length("data").cast("long").alias("llen"), "data"), 100, 5000)
 
 
 @R.query("newest_attributes", "select inode, generation, mode, length from (select *, row_number() over (partition by inode order by generation desc) rn from (select distinct * from node)) where rn = 1")
