@@ -12,14 +12,16 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packstrata.operators.skew import hot_keys
+from packstrata.functions.arrow import slices
+from packstrata.operators.skew import hot_keys, skew_join
 from packstrata.session import Scratch, ship
 
-# Letters of one shape. Each line lists a shape in Latin, Cyrillic, Greek and Armenian; '-' where
-# the script has no such letter. Case is a visible difference, so capital and small shapes are apart.
+# Letters that fonts draw alike. Each line lists a shape in Latin, Cyrillic, Greek and Armenian; '-'
+# where the script has no such letter. Case is a visible difference, so capital and small shapes are apart.
+# Unicode's own list of look-alikes (``unicode_shapes``) is wider, but does not tell these from mere resemblance.
 SCRIPTS = ("latin", "cyrillic", "greek", "armenian")
 SHAPES = """
 A А Α -
@@ -105,26 +107,77 @@ _FOLDS = {chr(k): v or "" for k, v in _FOLD.items() if k != 0x20}
 _SHAPES = {chr(k): v for k, v in _SHAPE.items()}
 _FOLDED = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in UNSEEN) + "".join(re.escape(c) for c in _FOLDS if not any(a <= ord(c) <= b for a, b in UNSEEN)) + "]")
 _SHAPED = re.compile("[" + "".join(_SHAPES) + "]")
-_RANGES = {"latin": "A-Za-z\u00c0-\u024f\u0250-\u02af", "cyrillic": "\u0400-\u052f", "greek": "\u0370-\u03ff", "armenian": "\u0531-\u0587"}
-_ONLY = {s: re.compile(f"(?![{''.join(LATTICE)}])[{r}]") for s, r in _RANGES.items()}
-_TOKEN = re.compile(f"[{''.join(_RANGES.values())}\u0300-\u036f]+")
-_FOREIGN = re.compile(f"[{''.join(r for s, r in _RANGES.items() if s != 'latin')}]")
+_MARK = "\u0300-\u036f"
+_TOKEN = re.compile(f"(?:[^\\W\\d_]|[{_MARK}])+")
+#: letters of the rows above in any script: they say nothing about the script of a text
+_SHARED = frozenset(c for own in LATTICE.values() for c in own.values()) | set(TWINS)
 
-#: What a change of script inside a token costs, in nats.
-SWITCH = 12.0
-
-
-def skeleton(text: str) -> str:
-    """Compatibility forms folded, unseen characters dropped, accents decomposed, each letter named by its shape."""
-    if text.isascii():
-        return text
-    folded = unicodedata.normalize("NFD", _FOLDED.sub(lambda m: _FOLDS[m.group()], text))
-    return _SHAPED.sub(lambda m: _SHAPES[m.group()], folded)
+#: What a change of script inside a token costs, in nats; and a letter that only resembles the one written.
+SWITCH = AWAY = 12.0
 
 
 @lru_cache(maxsize=1 << 16)
 def script_of(c: str) -> str:
-    return next((s for s, r in _RANGES.items() if re.match(f"[{r}]", c)), "other")
+    """The script in a letter's Unicode name ('LATIN SMALL LETTER A'), lower case; 'other' of what is not so named."""
+    first, letter, _ = unicodedata.name(c, "").partition(" LETTER ")
+    return first.split()[0].lower() if letter else "other"
+
+
+def _case(c: str) -> str:
+    """'u' or 'l'; '' of a letter without case, which may look like either."""
+    return {"Lu": "u", "Lt": "u", "Ll": "l"}.get(unicodedata.category(c), "")
+
+
+Options = dict[str, tuple[tuple[str, str, float], ...]]
+
+
+def lattice_of(skeletons: dict[str, str]) -> Options:
+    """How each letter may be read: (script, letter, cost) by the letter written, itself first.
+
+    ``skeletons`` maps letters to Unicode's prototype of their look. Letters of
+    other scripts with that prototype are readings at AWAY nats, unless both
+    have a case and it differs; those that share a row of SHAPES cost nothing.
+    Letters of one script are never read as one another, so this relation is
+    no equivalence: two Cyrillic letters may both resemble one Latin letter,
+    and which of them is meant there is for the search to say.
+    """
+    alike: dict[str, list[str]] = {}
+    for c, bone in skeletons.items():
+        if len(bone) == 1 and script_of(c) != "other" and unicodedata.category(c) in ("Lu", "Lt", "Ll", "Lo") and not unicodedata.decomposition(c):
+            alike.setdefault(bone, []).append(c)
+    out: dict[str, dict[str, float]] = {}
+    for letters in alike.values():
+        for c in letters:
+            for x in letters:
+                if script_of(x) != script_of(c) and (_case(c) == _case(x) or not _case(c) or not _case(x)):
+                    out.setdefault(c, {})[x] = AWAY
+    for own in LATTICE.values():
+        for c in own.values():
+            out.setdefault(c, {}).update({x: 0.0 for x in own.values() if x != c})
+    for c, x in TWINS.items():
+        out[c] = {k: 0.0 for k in (x, *(LATTICE[x].values() if x in LATTICE else ()))} | {k: v for k, v in out.get(c, {}).items() if v}
+    order = lambda kv: (kv[1], kv[0])
+    return {c: (*([] if c in TWINS else [(script_of(c), c, 0.0)]), *((script_of(x), x, w) for x, w in sorted(near.items(), key=order))) for c, near in out.items()}
+
+
+def unicode_shapes(spark: SparkSession) -> dict[str, str]:
+    """Every letter's prototype in Unicode's list of confusable characters, from the ICU library that Spark brings along; one call."""
+    letters = [chr(c) for c in range(0x41, 0x20000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt", "Lo") and script_of(chr(c)) != "other"]
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    bones = checker.getSkeleton("\n".join(letters)).split("\n")
+    if len(bones) != len(letters):
+        raise ValueError("the skeleton of a list of letters must have an entry for each")
+    return dict(zip(letters, bones, strict=True))
+
+
+def folded(text: str) -> str:
+    """Width forms and blanks made ordinary, unseen characters dropped, accents decomposed."""
+    return text if text.isascii() else unicodedata.normalize("NFD", _FOLDED.sub(lambda m: _FOLDS[m.group()], text))
+
+
+def skeleton(text: str) -> str:
+    """``folded`` with each letter named by its row of SHAPES: what a comparison without a search would compare."""
+    return _SHAPED.sub(lambda m: _SHAPES[m.group()], folded(text))
 
 
 class Ngrams:
@@ -142,89 +195,119 @@ class Ngrams:
 
 
 class Former:
-    """Brings texts to one form. Texts of equal skeleton get equal forms, and no others do."""
+    """Brings texts to one form: every token as its likeliest reading.
+
+    A token's lattice has the readings of each of its letters. A token that
+    can be read wholly in the script of the text, by letters drawn alike, is
+    read in it, so its lattice has that script's letters only; else all
+    scripts take part. A lattice with one path needs no search.
+    """
 
-    def __init__(self, ngrams: Ngrams):
-        self.ngrams = ngrams
+    def __init__(self, ngrams: Ngrams, options: Options | None = None):
+        self.ngrams, self.options = ngrams, lattice_of({}) if options is None else options
         self.known: dict[tuple[str, str], str] = {}
+        self.odd = re.compile("[" + "".join(c for c in self.options if script_of(c) != "latin" or c in TWINS) + "]")
+        self.latin = re.compile(f"[{''.join(chr(c) for c in range(0x41, 0x250) if script_of(chr(c)) == 'latin' and chr(c) not in _SHARED)}]")
 
     def form(self, text: str) -> str:
-        bones = skeleton(text)
-        if not _FOREIGN.search(bones) and _ONLY["latin"].search(bones):
-            return bones if bones.isascii() else unicodedata.normalize("NFC", bones)  # every letter is Latin in a Latin text
-        context = self._context(bones)
-        return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: self._token(m.group(), context), bones))
+        bones = folded(text)
+        # in a Latin text without letters of other scripts every lattice is one path
+        if not ((text.isascii() or not self.odd.search(bones)) and self.latin.search(bones)):
+            script = self._script(bones)
+            bones = _TOKEN.sub(lambda m: self._token(m.group(), script), bones)
+        return bones if bones.isascii() else unicodedata.normalize("NFC", bones)
 
     @staticmethod
-    def _context(bones: str) -> str:
-        """The script of most letters that belong to one script only; '' if there are none."""
-        n = {s: len(only.findall(bones)) for s, only in _ONLY.items()}
-        best = max(SCRIPTS, key=lambda s: n[s])
-        return best if n[best] else ""
-
-    def _token(self, token: str, context: str) -> str:
-        key = (token, context)
+    def _script(bones: str) -> str:
+        """The script of most letters that no other script draws alike; '' if there are none."""
+        n: Counter[str] = Counter()
+        for c, k in Counter(bones).items():
+            if c.isalpha() and c not in _SHARED and (s := script_of(c)) != "other":
+                n[s] += k
+        return min(n, key=lambda s: (-n[s], s)) if n else ""
+
+    def _token(self, token: str, script: str) -> str:
+        key = (token, script)
         if key not in self.known:
             if len(self.known) > 1 << 18:
                 self.known.clear()
-            self.known[key] = self._search(token, context)
+            self.known[key] = self._search(token, script)
         return self.known[key]
 
-    def _search(self, token: str, context: str) -> str:
-        """Viterbi over the token's lattice: each shape may be written in any script that has it.
+    def _search(self, token: str, script: str) -> str:
+        """Viterbi over the token's lattice.
 
-        A path costs the n-gram costs of its letters within a script, and
-        SWITCH for each change of script. A lattice with a path wholly in the
-        script of the text is that path.
+        A path costs what its letters cost to be read so, their n-gram costs
+        within a script, and SWITCH for each change of script; a path that
+        begins in the script of the text costs a nat less. Ties go to the
+        script, then the letter, that comes first.
         """
-        lattice = [LATTICE.get(c) or {script_of(c): c} for c in token if not "\u0300" <= c <= "\u036f"]
-        if context and all(context in own for own in lattice):
-            chosen = [own[context] for own in lattice]
+        letters = [c for c in token if not "\u0300" <= c <= "\u036f"]
+        lattice = [self.options.get(c) or ((script_of(c), c, 0.0),) for c in letters]
+        if script and all(any(s == script and w == 0 for s, _, w in row) for row in lattice):
+            lattice = [tuple(x for x in row if x[0] == script) for row in lattice]
+        if all(len(row) == 1 for row in lattice):
+            chosen = [row[0][1] for row in lattice]
         else:
-            states: dict[str, tuple[float, tuple | None]] = {}
-            for own in lattice:
-                now = {}
-                for script, letter in own.items():
+            states: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+            for row in lattice:
+                now: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+                for s, letter, away in row:
                     start = self.ngrams.cost(0, ord(letter))
-                    ways = [(cost + (self.ngrams.cost(ord(back[0]), ord(letter)) if was == script else SWITCH + start), SCRIPTS.index(was) if was in SCRIPTS else 9, back) for was, (cost, back) in states.items()]
-                    cost, _, back = min(ways, key=lambda w: w[:2]) if ways else (start - (1.0 if script == context else 0.0), 0, None)
-                    now[script] = (cost, (letter, back))
+                    if not states:
+                        now[s, letter] = (start + away - (1.0 if s == script else 0.0), (letter, None))
+                        continue
+                    cost, was = min((cost + (self.ngrams.cost(ord(a), ord(letter)) if t == s else SWITCH + start), (t, a)) for (t, a), (cost, _) in states.items())
+                    now[s, letter] = (cost + away, (letter, states[was][1]))
                 states = now
-            chosen = []
-            if states:
-                back = min(states.items(), key=lambda x: (x[1][0], x[0]))[1][1]
-                while back:
-                    chosen.append(back[0])
-                    back = back[1]
-                chosen.reverse()
-        letters = iter(chosen)
-        return "".join(c if "\u0300" <= c <= "\u036f" else next(letters) for c in token)
-
-
-# letters counted: those below this code point, each as its base letter
-_LIMIT = 0x590
-_BASE = np.zeros(_LIMIT + 1, np.int64)
-for _cp in range(0x41, _LIMIT):
+            back = min((cost, at) for at, (cost, _) in states.items())
+            chain, chosen = states[back[1]][1], []
+            while chain:
+                chosen.append(chain[0])
+                chain = chain[1]
+            chosen.reverse()
+        read = iter(chosen)
+        return "".join(c if "\u0300" <= c <= "\u036f" else next(read) for c in token)
+
+
+# each letter as its base letter, a number below _LETTERS; 0 is whatever is no letter of a named script
+_BASE = np.zeros(0x20000, np.int32)
+for _cp in range(0x41, 0x20000):
     _first = unicodedata.normalize("NFD", chr(_cp))[0]
-    if unicodedata.category(_first)[0] == "L" and ord(_first) < _LIMIT:
+    if unicodedata.category(_first)[0] == "L" and script_of(_first) != "other":
         _BASE[_cp] = ord(_first)
+_CODES, _BASE = np.unique(_BASE, return_inverse=True)
+_BASE = np.append(_BASE, 0)  # what lies beyond
+_LETTERS = len(_CODES)
+#: Pairs are counted up to here before they are added up: a bound on what a task holds.
+_PENDING = 1 << 22
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in batches:
-        text = "\n".join(t for t in batch.column(0).to_pylist() if t)
-        codes = _BASE[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), _LIMIT)]
-        n = np.bincount(np.concatenate([[0], codes[:-1]]) * _LIMIT + codes, minlength=_LIMIT * _LIMIT) if len(codes) else 0
-        total = n if total is None else total + n
-    if total is not None and np.ndim(total):
-        at = np.flatnonzero(total)
-        at = at[at % _LIMIT > 0]
-        yield pa.RecordBatch.from_arrays([pa.array(at // _LIMIT), pa.array(at % _LIMIT), pa.array(total[at])], names=["a", "b", "n"])
+    """(first, second, n) of letter pairs, added up over several batches at a time."""
+    pending, size = [], 0
+
+    def added() -> pa.RecordBatch:
+        pair, n = np.unique(np.concatenate(pending), return_counts=True)
+        keep = pair % _LETTERS > 0
+        a, b = _CODES[pair[keep] // _LETTERS], _CODES[pair[keep] % _LETTERS]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n[keep])], names=["a", "b", "n"])
+
+    for batch in slices(batches, 0):
+        for text in batch.column(0).to_pylist():
+            if text:
+                codes = _BASE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x20000)].astype(np.int32)
+                pending.append(np.concatenate([[0], codes[:-1]]).astype(np.int32) * np.int32(_LETTERS) + codes)
+                size += len(codes)
+                if size > _PENDING:
+                    yield added()
+                    pending, size = [], 0
+    if pending:
+        yield added()
 
 
 def ngram_counts(documents: DataFrame, text: str = "text") -> Ngrams:
-    """Letter pairs of all texts. Collected: at most the square of the letters below U+0590, whatever the corpus."""
+    """Letter pairs of all texts. Collected: pairs of letters of alphabets and syllabaries, a number that Unicode bounds, not the corpus."""
     ship(documents.sparkSession)
     pairs = documents.select(F.col(text).cast("string").alias("t")).mapInArrow(_count, "a long, b long, n long")
     return Ngrams([tuple(r) for r in pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()])
@@ -234,41 +317,67 @@ def _digest(x: str) -> bytes:
     return blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _formed(batches: Iterator[pa.RecordBatch], ngrams: Ngrams, digests: bool) -> Iterator[pa.RecordBatch]:
-    former = Former(ngrams)
-    for batch in batches:
+def _formed(batches: Iterator[pa.RecordBatch], ngrams: Ngrams, options: Options, digests: bool) -> Iterator[pa.RecordBatch]:
+    former = Former(ngrams, options)
+    for batch in slices(batches, 1):
         texts = batch.column(1).to_pylist()
-        forms = [None if t is None else former.form(t) for t in texts]
         if digests:
-            own = [None if t is None else _digest(t) for t in texts]
-            made = [o if f == t else _digest(f) for t, f, o in zip(texts, forms, own, strict=True) if t is not None]
-            keep = pa.array([i for i, t in enumerate(texts) if t is not None], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), pa.array(made, pa.binary()), pa.array([o for o in own if o is not None], pa.binary())], names=["doc", "form", "own"])
+            rows = [(i, *_digests(t, former.form(t))) for i, t in enumerate(texts) if t is not None]
+            at, form, own = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(form, pa.binary()), pa.array(own, pa.binary())], names=["doc", "form", "own"])
         else:
+            forms = [None if t is None else former.form(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string())], names=[batch.schema.names[0], "form"])
 
 
+def _digests(text: str, form: str) -> tuple[bytes, bytes]:
+    own = _digest(text)
+    return own if form == text else _digest(form), own
+
+
 def consistent_forms(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``form``, the one consistent form of each text; null of a null text.
 
     Full- and half-width forms become ordinary ones, accents are composed,
     characters that show nothing are dropped, blanks of any kind become the
-    blank, and letters of one shape are written in the script that the token's
-    letters suggest. Compatibility forms that can be told apart by the eye
-    (superscripts, fractions, ligatures, circled digits) stay as they are.
+    blank, and each token is written as the likeliest reading of its letters.
+    Compatibility forms that can be told apart by the eye (superscripts,
+    fractions, ligatures, circled digits) stay as they are.
     """
-    ngrams = ngram_counts(documents, text)
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(lambda b: _formed(b, ngrams, False), f"{key} {kind}, form string")
+    return _form_all(documents, F.col(key), text, False, f"{key} {kind}, form string")
 
 
 def form_digests(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, form and own: 128-bit digests of a text's form and of its code points; null texts are left out."""
-    ngrams = ngram_counts(documents, text)
-    return documents.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("_text")).mapInArrow(lambda b: _formed(b, ngrams, True), "doc long, form binary, own binary")
+    return _form_all(documents, F.col(key).cast("long").alias("doc"), text, True, "doc long, form binary, own binary")
+
+
+def _form_all(documents: DataFrame, key: Column, text: str, digests: bool, schema: str) -> DataFrame:
+    ngrams, options = ngram_counts(documents, text), lattice_of(unicode_shapes(documents.sparkSession))
+    return documents.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(lambda b: _formed(b, ngrams, options, digests), schema)
 
 
 SALTS = 32
+#: Texts of a form that one task pairs with the others of that form.
+STRIPE = 1024
+
+
+def _classes(documents: DataFrame, key: str, text: str, floor: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Texts (form, own, n documents) and documents (form, own, doc), each once, of the forms that several texts have."""
+    scratch = Scratch(documents.sparkSession)
+    digests, n = scratch.keep_counted(form_digests(documents, key, text), F.lit(1))  # 40 bytes a document, formed once
+    several = digests.groupBy("form").agg((F.min("own") < F.max("own")).alias("_several")).where("_several").select("form")
+    members = scratch.keep(skew_join(digests, several, ["form"], "left_semi", floor, n).distinct())
+    return members.groupBy("form", "own").agg(F.count(F.lit(1)).alias("n")), members
+
+
+def lookalike_classes(documents: DataFrame, key: str = "doc_id", text: str = "text", floor: int | None = None) -> DataFrame:
+    """doc, class (its least document) and links (documents of other texts of that form) of every document that looks like another text."""
+    texts, members = _classes(documents, key, text, floor)
+    classes = members.groupBy("form").agg(F.count(F.lit(1)).alias("_all"), F.min("doc").alias("class"))
+    told = texts.join(classes, "form").select("form", "own", "class", (F.col("_all") - F.col("n")).alias("links"))
+    return skew_join(members, told, ["form", "own"], "inner", floor).select("doc", "class", "links")
 
 
 def lookalike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text", floor: int | None = None) -> DataFrame:
@@ -277,17 +386,16 @@ def lookalike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text
     Texts, not documents, are paired within a form: a text's exact copies
     count once until the result is written out. So work follows the number of
     pairs returned, and a form that very many copies of one text share costs
-    nothing. Copies of a text held by very many documents are salted.
+    nothing. A form of very many texts is paired in stripes, each by its own
+    task; copies of a text held by very many documents are salted.
     """
-    digests = Scratch(documents.sparkSession).keep(form_digests(documents, key, text))  # 40 bytes a document, formed once
-    texts = digests.groupBy("form", "own").agg(F.count(F.lit(1)).alias("n"))
-    several = texts.groupBy("form").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("form")
-    texts = texts.join(several, "form", "left_semi")
+    texts, members = _classes(documents, key, text, floor)
     # big: the text of more copies
-    a = texts.select("form", F.struct("n", "own").alias("x"))
-    b = texts.select("form", F.struct("n", "own").alias("y"))
-    pairs = a.join(b, "form").where("x > y").select("form", F.col("x.own").alias("big"), F.col("y.own").alias("small"))
-    members = digests.join(several, "form", "left_semi").distinct()
+    texts = texts.join(texts.groupBy("form").agg(F.count(F.lit(1)).alias("k")), "form")
+    stripes = F.ceil(F.col("k") / STRIPE).cast("long")
+    a = texts.select("form", F.struct("n", "own").alias("x"), F.pmod(F.xxhash64("own"), stripes).alias("_stripe"))
+    b = texts.select("form", F.struct("n", "own").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), stripes - 1)).alias("_stripe"))
+    pairs = a.join(b, ["form", "_stripe"]).where("x > y").select("form", F.col("x.own").alias("big"), F.col("y.own").alias("small"))
     hot = hot_keys(members, ["own"], floor)
     wide = pairs.join(members.select(F.col("own").alias("small"), "form", F.col("doc").alias("d")), ["form", "small"]).select("form", "big", "d")
     if hot is None:

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packstrata.llm.lookalike import consistent_forms, lookalike_pairs
+from packstrata.llm.lookalike import consistent_forms, lookalike_classes, lookalike_pairs
 from packstrata.llm.packing import CAPACITY, pack
 from packstrata.llm.seen import seen_before, seen_errors
 from packstrata.llm.tokens import token_bytes, token_ids, tokenizer_file
@@ -74,3 +74,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every text."""
     return consistent_forms(table(spark, d, "documents"))
+
+
+@R.query("p9_classes")
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that looks like another text, its class, and the number of its partners."""
+    return lookalike_classes(table(spark, d, "documents"))

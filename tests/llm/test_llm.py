@@ -11,9 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import differences
 
-from packstrata.llm import queries
+from packstrata.llm import lookalike, queries
 from packstrata.llm.fingerprints import BITS, Filter, build
-from packstrata.llm.lookalike import LATTICE, Former, Ngrams, consistent_forms, lookalike_pairs, skeleton
+from packstrata.llm.lookalike import LATTICE, Former, Ngrams, consistent_forms, lattice_of, lookalike_classes, lookalike_pairs, skeleton, unicode_shapes
 from packstrata.llm.packing import Tournament, first_fit_decreasing, pack
 from packstrata.llm.seen import seen_before, seen_errors
 from packstrata.llm.tokens import encode, parts, token_bytes, token_ids, tokenizer
@@ -224,3 +224,46 @@ def test_p9_forms_whole(spark, data):
     got = {x.doc_id: x.form for x in queries.p9_forms(spark, data).collect()}
     assert {k for k, v in got.items() if v is None} == {k for k, t in rows.items() if t is None}
     assert consistent_forms(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def counted(text: str, times: int) -> Ngrams:
+    pairs: dict[tuple[int, int], int] = {}
+    for word in text.split():
+        for a, b in zip("\0" + word, word, strict=False):
+            pairs[ord(a), ord(b)] = pairs.get((ord(a), ord(b)), 0) + times
+    return Ngrams([(a, b, n) for (a, b), n in pairs.items()])
+
+
+def test_search_decides_where_a_skeleton_would_be_wrong(spark):
+    bones = unicode_shapes(spark)
+    options = lattice_of(bones)
+    assert len({s for row in options.values() for s, _, _ in row}) > 12
+    # two Cyrillic letters share Unicode's prototype: comparing prototypes would join different words
+    assert bones["у"] == bones["ү"] == "y"
+    kazakh, russian = Former(counted("жүк күн күлдік жүн", 5000), options), Former(counted("жук кун кулдык жун", 5000), options)
+    for f in (kazakh, russian):
+        assert f.form("бұл күн") == "бұл күн" and f.form("бұл кун") == "бұл кун"
+    # a Latin letter may stand for either, and the words of the corpus say for which
+    assert kazakh.form("жaң кyн") == "жаң күн" and russian.form("жaң кyн") == "жаң кун"
+    # Unicode's prototype of the small palochka is i: it would part this word from hello
+    assert bones["ӏ"] == "i" and Former(counted("hello world", 9), options).form("heӏӏo worӏd") == "hello world"
+
+
+def test_classes_count_the_pairs(spark, data):
+    links = {}
+    for x in queries.p9_found(spark, data).collect():
+        links[x.doc_a], links[x.doc_b] = links.get(x.doc_a, 0) + 1, links.get(x.doc_b, 0) + 1
+    got = queries.p9_classes(spark, data).collect()
+    assert {x.doc: x.links for x in got} == links and all(x["class"] <= x.doc for x in got)
+    rows = [(k, "aа"[k % 2] * 3 if k < 40 else f"{k}") for k in range(60)] + [(3, "ааа")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for floor in (None, 1):
+        told = lookalike_classes(df, floor=floor).collect()
+        assert {(x.doc, x["class"], x.links) for x in told} == {(k, 0, 20) for k in range(40)}
+
+
+def test_stripes_pair_every_text_of_a_form(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "STRIPE", 4)
+    texts = ["a" * k + "а" * (9 - k) + " cat" for k in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(x) for x in lookalike_pairs(df).collect()) == [(a, b) for a in range(10) for b in range(a + 1, 10)]
