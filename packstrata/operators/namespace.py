@@ -134,6 +134,4 @@ def read_range(refs: DataFrame, lo: int, hi: int) -> DataFrame:
     cut = cut.select("inode", "off", a.alias("_a"), b.alias("_b"), body.alias("_d"))
     gap = F.col("_a") - F.coalesce(F.lag("_b").over(w), F.lit(lo))
     cut = cut.withColumn("_d", F.concat(zeros(F.greatest(gap, F.lit(0))), F.col("_d")))
-    pieces = F.array_sort(F.collect_list(F.struct("_a", "_d")))
-    joined = F.aggregate(F.transform(pieces, lambda p: p["_d"]), F.lit(b""), lambda a, b: F.concat(a, b))
-    return cut.groupBy("inode").agg(joined.alias("bytes"))
+    return cut.groupBy("inode").agg(F.expr("listagg(_d) within group (order by _a)").alias("bytes"))
