@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from packstrata.llm.lookalike import consistent_forms, lookalike_classes, lookalike_pairs
 from packstrata.llm.packing import CAPACITY, pack
-from packstrata.llm.seen import seen_before, seen_errors
+from packstrata.llm.fingerprints import BITS
+from packstrata.llm.seen import SHARD_KEYS, SealedKeys, seen_before, seen_errors
 from packstrata.llm.tokens import token_bytes, token_ids, tokenizer_file
 from packstrata.plans.registry import Registry
+from packstrata.session import fresh_folder
 from packstrata.sources.tables import table
 
 R = Registry()
@@ -37,6 +39,29 @@ def p5_error_rates(spark: SparkSession, d: str) -> DataFrame:
     return seen_errors(table(spark, d, "dedup_chunk"), "identity", "arrival", table(spark, d, "dedup_known"))
 
 
+@R.query("p5_sealed_run", """with m as (select quantile_disc(arrival, 0.5) mid from dedup_chunk where identity is not null), old as (select identity from dedup_chunk, m where identity is not null and arrival < mid union select identity from dedup_known where identity is not null),
+late as (select distinct identity from dedup_chunk, m where identity is not null and arrival >= mid)
+select cast(count(*) as bigint) as probed, cast(count(*) filter (identity in (select identity from old)) as bigint) as seen, 0::bigint as missed, true as within_bound from late""")
+def p5_sealed_run(spark: SparkSession, d: str) -> DataFrame:
+    """The later half of the arrivals against stored filters of the known keys and of the earlier half.
+
+    The run itself reads no old key; only this report on it does. The bound is
+    five times what two filters may claim wrongly on average, and a few.
+    """
+    rows, known = table(spark, d, "dedup_chunk").where("identity is not null"), table(spark, d, "dedup_known")
+    at, n = rows.agg(F.expr("percentile_disc(0.5) within group (order by arrival)"), F.count(F.lit(1))).first()
+    early, late = rows.where(F.col("arrival") < F.lit(at)), rows.where(F.col("arrival") >= F.lit(at))
+    store = SealedKeys(spark, fresh_folder(spark, "sealed"), max(1, -(-n // SHARD_KEYS)))
+    store.seal(known, "identity", 0)
+    store.seal(early, "identity", 1)
+    old = known.select("identity").unionByName(early.select("identity")).dropna().distinct().withColumn("_old", F.lit(True))
+    told = store.claims(late, "identity").join(old, "identity", "left").withColumn("_old", F.coalesce("_old", F.lit(False)))
+    return told.agg(
+        F.count(F.lit(1)).alias("probed"), F.count_if("_old").alias("seen"), F.count_if(F.col("_old") & ~F.col("claimed")).alias("missed"),
+        (F.count_if(F.col("claimed") & ~F.col("_old")) <= 10 * 2.0**-BITS * F.count_if(~F.col("_old")) + 5).alias("within_bound"),
+    )
+
+
 @R.query("p7_ids")
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every text."""

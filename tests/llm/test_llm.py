@@ -15,7 +15,7 @@ from packstrata.llm import lookalike, queries
 from packstrata.llm.fingerprints import BITS, Filter, build
 from packstrata.llm.lookalike import LATTICE, Former, Ngrams, consistent_forms, lattice_of, lookalike_classes, lookalike_pairs, skeleton, unicode_shapes
 from packstrata.llm.packing import Tournament, first_fit_decreasing, pack
-from packstrata.llm.seen import seen_before, seen_errors
+from packstrata.llm.seen import SealedKeys, seen_before, seen_errors
 from packstrata.llm.tokens import encode, parts, token_bytes, token_ids, tokenizer
 
 
@@ -267,3 +267,20 @@ def test_stripes_pair_every_text_of_a_form(spark, monkeypatch):
     texts = ["a" * k + "а" * (9 - k) + " cat" for k in range(10)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(tuple(x) for x in lookalike_pairs(df).collect()) == [(a, b) for a in range(10) for b in range(a + 1, 10)]
+
+
+def test_sealed_filters_of_earlier_runs(spark, data, tmp_path):
+    assert differences(queries.p5_sealed_run(spark, data), data, queries.R.sql["p5_sealed_run"]) == ([], [])
+    store = SealedKeys(spark, str(tmp_path / "s"), 3)
+    keys = lambda *ks: spark.createDataFrame([(k, "x") for k in ks], "k binary, note string")
+    store.seal(keys(b"a", b"a", None, b""), "k", 1)
+    store.seal(keys(b"b"), "k", 7)
+    assert {(bytes(x.k), x.claimed) for x in store.claims(keys(b"", b"a", b"b", b"c", None), "k").collect()} == {(b"", True), (b"a", True), (b"b", True), (b"c", False)}
+    assert store.claims(keys(b"a").limit(0), "k").count() == 0
+
+
+def test_one_late_arrival_does_not_make_one_batch(spark):
+    df = spark.createDataFrame([(k, b"%d" % (k % 400)) for k in range(900)] + [(1 << 60, b"3")], "at long, k binary")
+    told = seen_errors(df, "k", "at", batches=8).collect()
+    assert len(told) == 8 and max(x.probed for x in told) < 200
+    assert seen_before(df, "k", "at", batches=8).count() == 501
