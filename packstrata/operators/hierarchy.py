@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packstrata.operators.skew import skew_join
+from packstrata.operators.skew import HOT_FLOOR, skew_join
 from packstrata.session import Scratch
 
-#: More doubling rounds than any tree of 2^63 nodes needs; the rounds end by themselves long before.
-ROUNDS = 64
-
 
 def clean_edges(edges: DataFrame, parent: str, name: str, child: str, order: str | None = None) -> DataFrame:
     """Distinct edges as _p, _name (binary), _c, keyed by (_p, _name).
@@ -24,92 +23,216 @@ def clean_edges(edges: DataFrame, parent: str, name: str, child: str, order: str
     return rows.groupBy(F.col(parent).alias("_p"), F.col(name).cast("binary").alias("_name")).agg(best).select("_p", "_name", F.col(f"_b._o{len(rank) - 1}").alias("_c"))
 
 
-class Doubled:
-    """What pointer doubling found: ``state`` (node, head, dist, path, done, below) and the pointers of each round."""
+class Chains:
+    """Pointer doubling of ``links`` (node, up, seg, shared; up null at terminals), ``n_open`` of which have an up.
 
-    def __init__(self, state: DataFrame, rounds: list[DataFrame]):
-        self.state, self.rounds = state, rounds
+    In round k every open node holds a pointer to its ancestor 2^k above and
+    the path text between; it takes over the pointer of that ancestor. Nodes
+    that arrive at a terminal are done and only looked up from then on, so a
+    round moves the open ones. Rounds end when no node is open, or when one
+    resolves none: an open node with a chain that ends has an ancestor which
+    ends it one round earlier, so then all that are open lead into cycles.
+    Those go on, without texts, until pointers are longer than any way to a
+    cycle: what they point to is then exactly the nodes on cycles.
+
+    ``done``: node, head (its terminal), dist, path, shared (of the head).
+    ``open``: node, head of nodes on or below cycles, ``n_open`` of them.
+    ``jumps``: (node, head) of each round.
+    """
 
+    def __init__(self, links: DataFrame, n_open: int, scratch: Scratch, floor: int | None):
+        fresh = links.where("up is not null").select("node", F.col("up").alias("head"), F.lit(1).cast("long").alias("dist"), F.col("seg").alias("path"), F.lit(False).alias("shared"), F.lit(False).alias("done"))
+        pool = [links.where("up is null").select("node", F.col("node").alias("head"), F.lit(0).cast("long").alias("dist"), F.lit("").alias("path"), "shared")]
+        self.jumps: list[DataFrame] = []
+        cyclic = False
+        while n_open:
+            self.jumps.append(fresh.select("node", "head"))
+            if cyclic and 1 << len(self.jumps) - 1 >= n_open:
+                break
+            ends = fresh.select("node", "head", "dist", "path", "shared", F.lit(False).alias("done"))
+            if cyclic:
+                ends = ends.withColumn("path", F.lit(""))
+            else:
+                ends = reduce(DataFrame.unionByName, [p.withColumn("done", F.lit(True)) for p in pool], ends)
+            target = ends.select(F.col("node").alias("head"), F.col("head").alias("_h"), F.col("dist").alias("_d"), F.col("path").alias("_q"), F.col("shared").alias("_s"), F.col("done").alias("_f"))
+            moved = skew_join(fresh, target, ["head"], "inner", floor, n_open).select(
+                "node", F.col("_h").alias("head"), (F.col("dist") + F.col("_d")).alias("dist"), F.lit("").alias("path") if cyclic else F.concat("_q", "path").alias("path"), F.col("_s").alias("shared"), F.col("_f").alias("done")
+            )
+            # few rows, or many, in files of the size that AQE aims at: each is read in every later round
+            kept, left = scratch.keep_counted(moved.hint("rebalance"), F.when(F.col("done"), 0).otherwise(1))
+            fresh = kept.where("not done")
+            if not cyclic:
+                pool.append(kept.where("done").drop("done"))
+                cyclic = left == n_open
+            n_open = left
+        self.done = reduce(DataFrame.unionByName, pool)
+        self.open, self.n_open = fresh.select("node", "head"), n_open
 
-def _double(links: DataFrame, scratch: Scratch, floor: int | None) -> Doubled:
-    """Pointer doubling of ``links`` (node, up, seg, weight; up null at terminals).
+    def above(self, marks: DataFrame, carry: list[str] = []) -> DataFrame:  # noqa: B006
+        """``marks`` (node, carry) and, with the same carry, all nodes above them in their chains, each once."""
+        for jump in self.jumps:
+            both = F.array_compact(F.array("node", "head"))
+            marks = marks.join(jump, "node", "left").select(F.explode(both).alias("node"), *carry).distinct()
+        return marks
 
-    Each round replaces a node's pointer by its pointer's pointer, so jumps
-    double; path segments are joined in the same step. ``below`` sums weights
-    over what hangs below a node: in round k, the sums of nodes exactly 2^k
-    below are added, which doubles the covered depth.
+    def below(self, weights: DataFrame) -> DataFrame:
+        """``weights`` (node, w) summed over each node and all that hang below it in chains: in round k, what is 2^k below is added."""
+        for jump in self.jumps:
+            both = F.array_compact(F.array("node", "head"))
+            weights = weights.join(jump, "node", "left").select(F.explode(both).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("w"))
+        return weights
 
-    Rounds end when no node is open, or when a round resolves none: an open
-    node with an ancestor chain that ends has an ancestor which ends it one
-    round earlier, so if none did, all that are open lead into cycles.
+
+class Forest:
+    """A graph of edges as chains that end at roots or at nodes of several parents (shared nodes).
+
+    Nodes are those that have children. A node of one parent follows it; the
+    few nodes of several parents (a shared directory, or a tree edge into a
+    cycle) have no single pointer. They end the chains below them and form a
+    graph of their own, which is closed by doubling: it tells which of them
+    lie on a cycle or below one, and what is reachable across them.
     """
-    first = F.col("up").isNull()
-    state = links.select(
-        "node", F.when(first, F.col("node")).otherwise(F.col("up")).alias("head"), F.when(first, 0).otherwise(1).cast("long").alias("dist"),
-        F.when(first, "").otherwise(F.col("seg")).alias("path"), first.alias("done"), F.col("weight").alias("below"),
-    )
-    state = scratch.keep(state)
-    rounds, last, size = [], None, state.count()
-    for k in range(ROUNDS):
-        target = state.select(F.col("node").alias("head"), F.col("head").alias("_h"), F.col("dist").alias("_d"), F.col("path").alias("_p"), F.col("done").alias("_f"))
-        given = state.where(F.col("dist") == (1 << k)).groupBy(F.col("head").alias("node")).agg(F.sum("below").alias("_g"))
-        open_rows = skew_join(state.where(~F.col("done")), target, ["head"], "inner", floor, size)
-        moved = open_rows.select("node", F.col("_h").alias("head"), (F.col("dist") + F.col("_d")).alias("dist"), F.concat("_p", "path").alias("path"), F.col("_f").alias("done"), "below")
-        step = state.where("done").unionByName(moved).join(given, "node", "left").withColumn("below", F.col("below") + F.coalesce("_g", F.lit(0))).drop("_g")
-        rounds.append(state)
-        state = scratch.keep(step)
-        still = state.where(~F.col("done")).count()
-        if still == 0 or still == last:
-            # sums lag the pointers: what lies exactly 2^(k+1) below a head is still to be given
-            given = state.where(F.col("done") & (F.col("dist") == (1 << (k + 1)))).groupBy(F.col("head").alias("node")).agg(F.sum("below").alias("_g"))
-            rounds.append(state)
-            state = scratch.keep(state.join(given, "node", "left").withColumn("below", F.col("below") + F.coalesce("_g", F.lit(0))).drop("_g"))
-            break
-        last = still
-    return Doubled(state, rounds)
-
-
-def _closure(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Transitive closure of (x, y) by doubling."""
-    closed = scratch.keep(pairs.distinct())
-    size = closed.count()
-    while size:
-        step = closed.select("x", F.col("y").alias("_m")).join(closed.select(F.col("x").alias("_m"), "y"), "_m").select("x", "y")
-        grown = scratch.keep(closed.unionByName(step).distinct())
-        now = grown.count()
-        scratch.drop(closed)
-        closed = grown
-        if now == size:
-            break
-        size = now
-    return closed
-
-
-def _cycle_nodes(open_nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """The nodes on cycles among ``open_nodes`` (node, up), whose chains never end: what repeated jumps still reach."""
-    jump = scratch.keep(open_nodes)
-    size = None
-    while True:
-        image = jump.select("up").distinct().count()
-        if image == size or image == 0:
-            return jump.select(F.col("up").alias("node")).distinct()
-        size = image
-        onward = scratch.keep(jump.select("node", F.col("up").alias("_m")).join(jump.select(F.col("node").alias("_m"), "up"), "_m").select("node", "up"))
-        scratch.drop(jump)
-        jump = onward
+
+    def __init__(self, rows: DataFrame, n_rows: int, scratch: Scratch, floor: int | None = None):
+        """``rows``: _p, _name, _c as ``clean_edges`` has them, written, n_rows of them. Runs jobs."""
+        self.scratch, self.floor, self.spark = scratch, floor, rows.sparkSession
+        self.rows, self.n_rows = rows, n_rows
+        out = rows.groupBy(F.col("_p").alias("node")).agg(F.count(F.lit(1)).alias("weight"))
+        # in-edges of nodes that have children; all else is a leaf of the edge that names it
+        self.into, self.n_into = scratch.keep_counted(skew_join(rows, out.select(F.col("node").alias("_c")), ["_c"], "left_semi", floor, n_rows), F.lit(1))
+        degree = self.into.groupBy(F.col("_c").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min(F.struct("_p", "_name")).alias("_e"))
+        one, several = F.col("n_in") == 1, F.col("n_in") > 1
+        nodes = out.join(degree, "node", "left").select("node", "weight", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.col("_e._p").alias("_p"), F.col("_e._name").alias("_name"))
+        self.nodes, n_open, self.n_shared = scratch.keep_counted(nodes, one.cast("int"), several.cast("int"))
+        self.chains = Chains(self.nodes.select("node", F.when(one, F.col("_p")).alias("up"), F.when(one, segment()).alias("seg"), several.alias("shared")), n_open, scratch, floor)
+
+    @cached_property
+    def shared(self) -> DataFrame:
+        return self.nodes.where("n_in > 1").select("node", "_p", "_name")
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        """Edges into shared nodes (_p, _name, _c) with the head of _p's chain, _h (null if that never ends), and _hs, whether it is shared."""
+        into = skew_join(self.into, self.shared.select(F.col("node").alias("_c")), ["_c"], "left_semi", self.floor, self.n_into)
+        heads = self.chains.done.select(F.col("node").alias("_p"), F.col("head").alias("_h"), F.col("shared").alias("_hs"))
+        return self.scratch.keep(skew_join(into, heads, ["_p"], "left", self.floor, self.n_into))
+
+    @cached_property
+    def closed(self) -> DataFrame:
+        """(x, y) of shared nodes: y can be reached from x by one edge or more. Closed by doubling."""
+        closed, size = self.scratch.keep_counted(self.entries.where("_hs").select(F.col("_h").alias("x"), F.col("_c").alias("y")).distinct(), F.lit(1))
+        while size:
+            step = closed.select("x", F.col("y").alias("_m")).join(closed.select(F.col("x").alias("_m"), "y"), "_m").select("x", "y")
+            grown, now = self.scratch.keep_counted(closed.unionByName(step).distinct(), F.lit(1))
+            self.scratch.drop(closed)
+            closed, done, size = grown, now == size, now
+            if done:
+                break
+        return closed
+
+    @cached_property
+    def reach(self) -> DataFrame:
+        """``closed``, and every shared node with itself."""
+        return self.closed.where("x <> y").unionByName(self.shared.select(F.col("node").alias("x"), F.col("node").alias("y")))
+
+    @cached_property
+    def bad(self) -> DataFrame:
+        """Shared nodes on or below a cycle."""
+        seeds = self.closed.where("x = y").select("x").unionByName(self.entries.where("_h is null").select(F.col("_c").alias("x"))).distinct()
+        return self.scratch.keep(self.reach.join(seeds, "x", "left_semi").select(F.col("y").alias("node")).distinct())
+
+    @cached_property
+    def back(self) -> DataFrame:
+        """Edges into shared nodes that lead back to where they start."""
+        return self.entries.where("_hs").join(self.reach.select(F.col("x").alias("_c"), F.col("y").alias("_h")), ["_c", "_h"], "left_semi").select("_p", "_name", "_c")
+
+    def on_cycle(self) -> DataFrame:
+        """Nodes of one parent whose edge lies on a cycle, each once, and shared nodes at the head of such chains."""
+        found = self.chains.open.select(F.col("head").alias("node")).distinct()
+        if not self.n_shared:
+            return found
+        return found.unionByName(self.chains.above(self.back.select(F.col("_p").alias("node")).distinct())).distinct()
+
+    def damaged(self) -> DataFrame:
+        """Nodes on or below a cycle."""
+        found = self.chains.open.select("node")
+        if not self.n_shared:
+            return found
+        return found.unionByName(self.chains.done.join(self.bad.select(F.col("node").alias("head")), "head", "left_semi").select("node"))
+
+    def below(self, weights: DataFrame) -> DataFrame:
+        """node, w: ``weights`` (node, w) summed over the node and all nodes reachable from it, each once. Nothing is said of damaged nodes.
+
+        Across shared nodes each is counted once for all that reach it, which
+        takes the pairs of chain nodes and the shared nodes they reach.
+        """
+        own = self.chains.below(weights)
+        if not self.n_shared:
+            return own
+        own = self.scratch.keep(own)
+        total = self.shared.select(F.col("node").alias("y")).join(own.select(F.col("node").alias("y"), F.col("w").alias("_t")), "y")
+        sound = self.entries.where("_h is not null").join(self.bad.select(F.col("node").alias("_h")), "_h", "left_anti")
+        met = sound.select(F.col("_p").alias("node"), F.col("_c").alias("x")).distinct().join(self.reach, "x").select("node", "y").distinct()
+        across = self.chains.above(met, ["y"]).join(total, "y").groupBy("node").agg(F.sum("_t").alias("_more"))
+        # a shared node's own chain is among what it reaches
+        within = self.reach.join(total, "y").groupBy(F.col("x").alias("node")).agg(F.sum("_t").alias("_all"))
+        return own.join(across, "node", "left").join(within, "node", "left").select("node", F.coalesce("_all", F.col("w") + F.coalesce("_more", F.lit(0))).alias("w"))
+
+    def paths(self) -> DataFrame:
+        """node, root, depth, path of sound nodes; across shared nodes the path of the smallest (parent, name)."""
+        done = self.chains.done
+        if not self.n_shared:
+            return done.select("node", F.col("head").alias("root"), F.col("dist").alias("depth"), "path")
+        done = done.join(self.bad.select(F.col("node").alias("head")), "head", "left_anti")
+        hops = self.shared.select("node", "_p", segment().alias("seg")).join(done.select(F.col("node").alias("_p"), "head", "dist", "path"), "_p")
+        hops = hops.select("node", F.col("head").alias("up"), F.concat("path", "seg").alias("seg"), (F.col("dist") + 1).alias("hop")).join(self.bad, "node", "left_anti")
+        lifted = _lift(hops, self.scratch).select(F.col("node").alias("head"), F.col("head").alias("_r"), F.col("hop").alias("_d"), F.col("path").alias("_q"))
+        zero = F.lit(0).cast("long")
+        return done.join(lifted, "head", "left").select("node", F.coalesce("_r", "head").alias("root"), (F.col("dist") + F.coalesce("_d", zero)).alias("depth"), F.concat(F.coalesce("_q", F.lit("")), "path").alias("path"))
+
+    def ancestors(self, nodes: DataFrame) -> DataFrame:
+        """The nodes from which one of ``nodes`` (node) can be reached, and those themselves, damage included."""
+        up = self.chains.above(nodes.select("node").distinct())
+        if not self.n_shared:
+            return up
+        up = self.scratch.keep(up)
+        met = up.join(self.shared.select("node"), "node", "left_semi").select(F.col("node").alias("y")).distinct()
+        over = self.scratch.keep(self.reach.join(met, "y", "left_semi").select(F.col("x").alias("node")).distinct())
+        parents = self.entries.join(over.select(F.col("node").alias("_c")), "_c", "left_semi").select(F.col("_p").alias("node")).distinct()
+        return up.unionByName(over).unionByName(self.chains.above(parents)).distinct()
+
+    def descendants(self, nodes: DataFrame) -> DataFrame:
+        """The nodes that can be reached from ``nodes`` (node), and those themselves, damage included."""
+        met = self._hanging(nodes.select("node").distinct())
+        if not self.n_shared:
+            return met
+        first = self.entries.join(met.select(F.col("node").alias("_p")), "_p", "left_semi").select(F.col("_c").alias("x")).unionByName(met.join(self.shared.select("node"), "node", "left_semi").select(F.col("node").alias("x"))).distinct()
+        over = self.scratch.keep(self.reach.join(first, "x", "left_semi").select(F.col("y").alias("node")).distinct())
+        return met.unionByName(self._hanging(over)).distinct()
+
+    def _hanging(self, marks: DataFrame) -> DataFrame:
+        """``marks`` and what hangs below them in chains: by the longest jumps first, so that each later one halves what is left."""
+        for jump in reversed(self.chains.jumps):
+            marks = self.scratch.keep(marks.unionByName(jump.join(marks.select(F.col("node").alias("head")), "head", "left_semi").select("node")).distinct())
+        return marks
+
+
+def segment() -> Column:
+    return F.concat(F.lit("/"), F.col("_name").cast("string"))
+
+
+def forest(edges: DataFrame, parent: str = "parent", name: str = "name", child: str = "inode", order: str | None = "generation", floor: int | None = None) -> Forest:
+    """The forest of a table of edges; see ``clean_edges`` for what counts."""
+    scratch = Scratch(edges.sparkSession)
+    return Forest(*scratch.keep_counted(clean_edges(edges, parent, name, child, order), F.lit(1)), scratch, floor)
 
 
 def hierarchy(edges: DataFrame, parent: str = "parent", name: str = "name", child: str = "inode", order: str | None = None, floor: int | None = None) -> DataFrame:
     """Path, depth, root, state and number of descendants of every edge.
 
-    Pointer doubling over the nodes that have children: in each round every
-    open node jumps to where its pointer points, and path segments are joined.
-    Nodes that no round resolves lie on or below a cycle.
-
-    A node of several parents (a shared directory, or a tree edge into a
-    cycle) ends the chains of the nodes below it. These few nodes form a graph
-    of their own, which is closed by doubling; it tells which of them lie on a
-    cycle or below one, and what is reachable across them is counted once.
+    Pointer doubling over the nodes that have children (``Chains``); nodes that
+    no round resolves lie on or below a cycle. Nodes of several parents are
+    treated as ``Forest`` says: what is reachable across them is counted once.
     Outside damage, the path of such a node is that of its smallest (parent,
     name).
 
@@ -118,101 +241,30 @@ def hierarchy(edges: DataFrame, parent: str = "parent", name: str = "name", chil
     null child is an entry with nothing below. Names are read as UTF-8. An
     empty table gives no rows. Runs jobs while it is called.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark)
     own = edges.schema[parent].dataType
-    rows = scratch.keep(clean_edges(edges, parent, name, child, order))
-    segment = F.concat(F.lit("/"), F.col("_name").cast("string"))
-
-    out_degree = rows.groupBy(F.col("_p").alias("node")).agg(F.count(F.lit(1)).alias("weight"))
-    # in-edges of nodes that have children; all else is a leaf of the edge that names it
-    # (an inode that very many entries link is a leaf too: hot keys of the child take the other way)
-    n_rows = rows.count()
-    into = scratch.keep(skew_join(rows, out_degree.select(F.col("node").alias("_c")), ["_c"], "left_semi", floor, n_rows))
-    degree = into.groupBy(F.col("_c").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min(F.struct("_p", "_name")).alias("_e"))
-    nodes = scratch.keep(out_degree.join(degree, "node", "left").select("node", "weight", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.col("_e._p").alias("_p"), F.col("_e._name").alias("_name")))
-    links = nodes.select("node", F.when(F.col("n_in") == 1, F.col("_p")).alias("up"), F.when(F.col("n_in") == 1, segment).alias("seg"), "weight")
-    found = _double(links, scratch, floor)
-    state = found.state
-
-    shared = scratch.keep(nodes.where("n_in > 1").select("node", "_p", "_name"))
-    open_nodes = state.where(~F.col("done")).select("node")
-    n_open, n_shared = open_nodes.count(), shared.count()
-
-    # what the edges of damage need: node, on_cycle, tainted; and what lies below across shared nodes
-    none = spark.createDataFrame([], rows.select(F.col("_p").alias("node")).schema)
-    on_cycle, tainted, extra, across = none, none, None, None
-    if n_open:
-        ups = nodes.join(open_nodes, "node", "left_semi").select("node", F.col("_p").alias("up"))
-        on_cycle = _cycle_nodes(ups, scratch)
-        tainted = open_nodes
-        on_cycle = scratch.keep(on_cycle)
-    paths = state.where("done").select("node", F.col("head").alias("root"), F.col("dist").alias("depth"), "path")
-    back = None
-    if n_shared:
-        heads = state.select(F.col("node").alias("_p"), F.col("head").alias("_h"), "done")
-        entries = scratch.keep(into.join(F.broadcast(shared.select(F.col("node").alias("_c"))) if n_shared <= 10_000 else shared.select(F.col("node").alias("_c")), "_c", "left_semi").join(heads, "_p"))
-        is_shared = shared.select(F.col("node").alias("_h"))
-        base = entries.where("done").join(is_shared, "_h", "left_semi").select(F.col("_h").alias("x"), F.col("_c").alias("y"))
-        closed = _closure(base, scratch)
-        reach = scratch.keep(closed.unionByName(shared.select(F.col("node").alias("x"), F.col("node").alias("y"))).distinct())
-        loops = closed.where("x = y").select("x")
-        seeds = loops.unionByName(entries.where(~F.col("done")).select(F.col("_c").alias("x"))).distinct()
-        bad = scratch.keep(reach.join(seeds, "x", "left_semi").select(F.col("y").alias("node")).distinct())
-        tainted = scratch.keep(tainted.unionByName(state.where("done").join(bad.select(F.col("node").alias("head")), "head", "left_semi").select("node")).distinct())
-        # edges into shared nodes that lead back to where they start
-        back = scratch.keep(entries.where("done").join(reach.select(F.col("x").alias("_c"), F.col("y").alias("_h")), ["_c", "_h"], "left_semi").select("_p", "_name", "_c"))
-        # ancestors, within their chain, of the parents that lead into shared nodes
-        up = scratch.keep(entries.select(F.col("_p").alias("node"), F.col("_c").alias("m")).distinct())
-        for k, pointers in enumerate(found.rounds):
-            jump = pointers.where(F.col("dist") == (1 << k)).select("node", F.col("head").alias("_a"))
-            more = scratch.keep(up.unionByName(up.join(jump, "node").select(F.col("_a").alias("node"), "m")).distinct())
-            scratch.drop(up)
-            up = more
-        chained = up.join(state.where("done").select("node", "head"), "node")
-        on_cycle = on_cycle.unionByName(chained.join(reach.select(F.col("x").alias("m"), F.col("y").alias("head")), ["m", "head"], "left_semi").select("node")).distinct()
-        # each shared node's own chain counts once for all that reach it
-        total = state.join(shared.select("node"), "node", "left_semi").select(F.col("node").alias("y"), F.col("below").alias("_t"))
-        across = reach.join(total, "y").groupBy(F.col("x").alias("node")).agg(F.sum("_t").alias("_all"))
-        clean_up = up.join(tainted, "node", "left_anti")
-        extra = clean_up.join(reach.select(F.col("x").alias("m"), "y"), "m").select("node", "y").distinct().join(total, "y").groupBy("node").agg(F.sum("_t").alias("_extra"))
-        # paths across shared nodes outside damage: the same doubling on the graph of shared nodes
-        sound = shared.join(bad, "node", "left_anti").select("node", "_p", segment.alias("seg"))
-        sound = sound.join(state.select(F.col("node").alias("_p"), "head", "dist", "path"), "_p")
-        hops = sound.select("node", F.col("head").alias("up"), F.concat("path", "seg").alias("seg"), (F.col("dist") + 1).alias("hop"))
-        tops = hops.select(F.col("up").alias("node")).distinct().join(hops.select("node"), "node", "left_anti")
-        flat = _lift(hops, tops, scratch)
-        lifted = flat.select(F.col("node").alias("root"), F.col("head").alias("_r"), F.col("hop").alias("_d"), F.col("path").alias("_q"))
-        paths = paths.join(lifted, "root", "left").select(
-            "node", F.coalesce("_r", "root").alias("root"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.concat(F.coalesce("_q", F.lit("")), F.col("path")).alias("path")
-        )
-
-    info = paths.join(tainted.withColumn("_bad", F.lit(True)), "node", "full").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
-    info = scratch.keep(info)
-    above = info.select(F.col("node").alias("_p"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("_bad"))
-    below = state.select(F.col("node").alias("_c"), F.col("below").alias("_below"))
-    if n_shared:
-        below = below.join(extra.withColumnRenamed("node", "_c"), "_c", "left").join(across.withColumnRenamed("node", "_c"), "_c", "left").select("_c", F.coalesce("_all", F.col("_below") + F.coalesce("_extra", F.lit(0))).alias("_below"))
-        below, on_cycle = scratch.keep(below), scratch.keep(on_cycle)
-    inner = into
-    if n_open or n_shared:
-        several = shared.select(F.col("node").alias("_c"), F.lit(True).alias("_several"))
-        inner = inner.join(several, "_c", "left").join(on_cycle.distinct().select(F.col("node").alias("_c"), F.lit(True).alias("_on")), "_c", "left")
-        if back is not None:
-            inner = inner.join(back.withColumn("_back", F.lit(True)), ["_p", "_name", "_c"], "left")
-        else:
-            inner = inner.withColumn("_back", F.lit(None).cast("boolean"))
-        loop = F.coalesce(F.when(F.col("_several"), F.col("_back")).otherwise(F.col("_on")), F.lit(False))
-    else:
-        loop = F.lit(False)
-    inner = inner.withColumn("_loop", loop).join(below, "_c").select("_p", "_name", "_c", "_loop", "_below")
-    # the many leaf edges take no part in joins on the child
-    leaves = skew_join(rows, nodes.select(F.col("node").alias("_c")), ["_c"], "left_anti", floor, n_rows).select("_p", "_name", "_c", F.lit(False).alias("_loop"), F.lit(0).cast("long").alias("_below"))
-    told = skew_join(inner.unionByName(leaves), above, ["_p"], "left", floor, n_rows)
-    kind = F.when(F.col("_loop"), "cycle").when(F.col("_bad"), "below_cycle").otherwise("tree")
+    f = forest(edges, parent, name, child, order, floor)
+    below = f.below(f.nodes.select("node", F.col("weight").alias("w")))
+    child_info = below.select(F.col("node").alias("_c"), F.col("w").alias("_below"))
+    above = f.paths().select(F.col("node").alias("_p"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+    loop = F.lit(False)
+    if f.chains.n_open or f.n_shared:
+        on = f.on_cycle().select(F.col("node").alias("_c"), F.lit(True).alias("_on"))
+        # an edge into a shared node is looked up by itself
+        several = f.shared.select(F.col("node").alias("_c"), F.lit(True).alias("_several"))
+        child_info = child_info.join(on, "_c", "left").join(several, "_c", "left")
+        loop = F.coalesce("_on", F.lit(False)) & F.col("_several").isNull()
+    # a join that splits hot keys reads its right side twice
+    once = f.scratch.keep if f.n_rows > (HOT_FLOOR if floor is None else floor) else lambda df: df
+    told = skew_join(f.rows, once(child_info), ["_c"], "left", floor, f.n_rows)
+    if f.n_shared:
+        told = told.join(f.back.select("_p", "_name", F.lit(True).alias("_back")), ["_p", "_name"], "left")
+        loop = loop | F.coalesce("_back", F.lit(False))
+    told = told.select("_p", "_name", "_c", loop.alias("_loop"), F.coalesce("_below", F.lit(0)).alias("_below"))
+    told = skew_join(told, once(above), ["_p"], "left", floor, f.n_rows)
+    kind = F.when(F.col("_loop"), "cycle").when(F.col("_root").isNull(), "below_cycle").otherwise("tree")
     return told.withColumn("state", kind).select(
         F.col("_p").cast(own).alias(parent), F.col("_c").alias(child), _tree(F.col("_root"), 0, own.simpleString()).alias("root"), _tree(F.col("_depth") + 1, 0, "long").alias("depth"),
-        _tree(F.concat("_path", segment), "", "string").alias("path"), "state", _tree(F.col("_below"), 0, "long").alias("n_below"),
+        _tree(F.concat("_path", segment()), "", "string").alias("path"), "state", _tree(F.col("_below"), 0, "long").alias("n_below"),
     )
 
 
@@ -220,15 +272,16 @@ def _tree(value: Column, otherwise, kind: str) -> Column:  # noqa: ANN001
     return F.when(F.col("state") == "tree", value).otherwise(F.lit(otherwise).cast(kind)).cast(kind)
 
 
-def _lift(hops: DataFrame, tops: DataFrame, scratch: Scratch) -> DataFrame:
-    """Doubling of weighted hops (node, up, seg, hop) down to the terminals ``tops``: node, head, hop, path."""
+def _lift(hops: DataFrame, scratch: Scratch) -> DataFrame:
+    """Doubling of weighted hops (node, up, seg, hop) to what none leads on from: node, head, hop, path."""
+    tops = hops.select(F.col("up").alias("node")).distinct().join(hops.select("node"), "node", "left_anti")
     start = tops.select("node", F.col("node").alias("head"), F.lit(0).cast("long").alias("hop"), F.lit("").alias("path"), F.lit(True).alias("done"))
-    state = scratch.keep(start.unionByName(hops.select("node", F.col("up").alias("head"), "hop", F.col("seg").alias("path"), F.lit(False).alias("done"))))
-    for _ in range(ROUNDS):
+    waits = F.when(F.col("done"), 0).otherwise(1)
+    state, left = scratch.keep_counted(start.unionByName(hops.select("node", F.col("up").alias("head"), "hop", F.col("seg").alias("path"), F.lit(False).alias("done"))), waits)
+    while left:
         target = state.select(F.col("node").alias("head"), F.col("head").alias("_h"), F.col("hop").alias("_d"), F.col("path").alias("_p"), F.col("done").alias("_f"))
-        moved = state.where(~F.col("done")).join(target, "head").select("node", F.col("_h").alias("head"), (F.col("hop") + F.col("_d")).alias("hop"), F.concat("_p", "path").alias("path"), F.col("_f").alias("done"))
-        before, state = state, scratch.keep(state.where("done").unionByName(moved))
+        moved = state.where("not done").join(target, "head").select("node", F.col("_h").alias("head"), (F.col("hop") + F.col("_d")).alias("hop"), F.concat("_p", "path").alias("path"), F.col("_f").alias("done"))
+        before = state
+        state, left = scratch.keep_counted(state.where("done").unionByName(moved), waits)
         scratch.drop(before)
-        if state.where(~F.col("done")).limit(1).count() == 0:
-            break
-    return state.where("done").select("node", "head", "hop", "path")
+    return state.select("node", "head", "hop", "path")

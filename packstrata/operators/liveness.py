@@ -6,26 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packstrata.functions.scalar import live_fraction, pack_time_ns
+from packstrata.operators.hierarchy import Forest
 from packstrata.session import Scratch
 
 
 def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes (id) reachable from ``roots`` over links (src, dst), with the first level that finds each.
+    """Nodes (id) that can be reached from ``roots`` (id) over links (src, dst), the roots themselves among them.
 
-    A frontier advances level by level and is anti-joined with the visited set,
-    so shared nodes are visited once and cycles end.
+    Links are followed by the jumps of pointer doubling, so in as many rounds
+    as the depth has bits. Nodes that several links lead to are visited once
+    and cycles end. Null links and roots lead nowhere. Runs jobs.
     """
     scratch = Scratch(links.sparkSession)
-    level = 0
-    frontier = scratch.keep(roots.select("id").dropna().distinct().withColumn("level", F.lit(0)))
-    seen = frontier
-    while True:
-        level += 1
-        step = links.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).dropna().distinct()
-        frontier = scratch.keep(step.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
-        if frontier.limit(1).count() == 0:
-            return seen
-        seen = scratch.keep(seen.unionByName(frontier))
+    rows = links.select(F.col("src").alias("_p"), F.col("dst").cast("string").cast("binary").alias("_name"), F.col("dst").alias("_c")).dropna().distinct()
+    f = Forest(*scratch.keep_counted(rows, F.lit(1)), scratch)
+    met = scratch.keep(f.descendants(roots.select(F.col("id").alias("node")).dropna()))
+    ends = f.rows.join(met.select(F.col("node").alias("_p")), "_p", "left_semi").select(F.col("_c").alias("node"))
+    return met.unionByName(ends).distinct().select(F.col("node").alias("id"))
+
+
+class NothingLive(ValueError):
+    """A sweep that would delete everything: with no live reference at all, something failed to be read."""
+
+
+def refuse_empty(live: DataFrame) -> DataFrame:
+    """``live`` itself, unless it has no row: then everything would count as garbage."""
+    if live.limit(1).count() == 0:
+        raise NothingLive("no live reference: the sweep is refused")
+    return live
 
 
 def pack_liveness(placements: DataFrame, live: DataFrame, always: Column | None = None) -> DataFrame:
@@ -33,9 +41,9 @@ def pack_liveness(placements: DataFrame, live: DataFrame, always: Column | None
 
     A referenced identity counts once however often it is referenced, and every
     placement of it is credited. ``always`` marks entries that are live
-    whatever is referenced (backups).
+    whatever is referenced (backups). An empty ``live`` is refused.
     """
-    ids = live.select("key").dropna().distinct().withColumn("_live", F.lit(True))
+    ids = refuse_empty(live).select("key").dropna().distinct().withColumn("_live", F.lit(True))
     alive = F.coalesce("_live", F.lit(False)) | (F.coalesce(always, F.lit(False)) if always is not None else F.lit(False))
     found = placements.join(ids, "key", "left").withColumn("_alive", alive)
     out = found.groupBy("pack").agg(
@@ -86,13 +94,13 @@ def ref_liveness(members: DataFrame, listed: DataFrame, condemned: DataFrame) ->
 
 
 def collectable(objects: DataFrame, live: DataFrame, now: int, grace: int) -> DataFrame:
-    """Objects (name, size, created in seconds or null) that no root needs, of known age, created at least ``grace`` ago."""
-    return objects.join(live.select("name").distinct(), "name", "left_anti").where(F.col("created").isNotNull() & (F.col("created") <= now - grace))
+    """Objects (name, size, created in seconds or null) that no root needs, of known age, created at least ``grace`` ago. An empty ``live`` is refused."""
+    return objects.join(refuse_empty(live).select("name").distinct(), "name", "left_anti").where(F.col("created").isNotNull() & (F.col("created") <= now - grace))
 
 
 def space_report(objects: DataFrame, live: DataFrame, now: int, grace: int) -> DataFrame:
     """One row: scanned, retained, young, candidates and their bytes."""
-    kept = objects.join(live.select("name", F.lit(1).alias("_k")).distinct(), "name", "left")
+    kept = objects.join(refuse_empty(live).select("name", F.lit(1).alias("_k")).distinct(), "name", "left")
     held, old = F.col("_k").isNotNull(), F.col("created").isNotNull() & (F.col("created") <= now - grace)
     return kept.agg(
         F.count(F.lit(1)).alias("scanned"), F.count_if(held).alias("retained"), F.count_if(~held & ~old).alias("young"),

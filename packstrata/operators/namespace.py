@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packstrata.functions.scalar import DIRECTORY, ENTRY_WEIGHT, FILE, INLINE_MAX
-from packstrata.operators.hierarchy import _double
-from packstrata.session import Scratch
+from packstrata.operators.hierarchy import forest
 
 
 def head_of(node: DataFrame) -> int | None:
@@ -53,36 +52,53 @@ def entry_weight(length: Column, kind: Column) -> Column:
     return F.lit(ENTRY_WEIGHT) + F.when((kind == FILE) & (length <= INLINE_MAX), length).otherwise(0)
 
 
+def own_weights(edge: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, w: the weight of each directory's own entries."""
+    e = entries(edge).join(nodes.select("inode", "length"), "inode", "left")
+    return e.groupBy(F.col("parent").alias("node")).agg(F.sum(entry_weight(F.coalesce("length", F.lit(0)), F.col("type"))).alias("w"))
+
+
 def subtree_weights(edge: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Catalog weight below each directory of a sound tree: inode, own, weight, dirs, by doubling.
+    """Catalog weight of each directory with all that can be reached below it: inode, own, weight, damaged.
 
-    Directories on or below a cycle, and those of several parents, have none.
+    What several ways lead to counts once. A directory on or below a cycle is
+    damaged; its weight is its own. Runs jobs.
     """
-    scratch = Scratch(edge.sparkSession)
-    e = entries(edge).join(nodes.select("inode", "length"), "inode", "left")
-    own = e.groupBy(F.col("parent").alias("node")).agg(F.sum(entry_weight(F.coalesce("length", F.lit(0)), F.col("type"))).alias("weight"))
-    up = entries(edge).join(own.select(F.col("node").alias("inode")), "inode", "left_semi").groupBy(F.col("inode").alias("node")).agg(F.min("parent").alias("_p"), F.count(F.lit(1)).alias("_n"))
-    links = scratch.keep(own.join(up, "node", "left").select("node", F.when(F.coalesce("_n", F.lit(0)) == 1, F.col("_p")).alias("up"), F.lit("").alias("seg"), "weight", (F.coalesce("_n", F.lit(0)) > 1).alias("shared")))
-    found = _double(links.drop("shared"), scratch, None).state.where("done")
-    return found.join(links.select("node", F.col("weight").alias("own"), "shared"), "node").where("not shared").select(F.col("node").alias("inode"), "own", F.col("below").alias("weight"))
+    f = forest(edge)
+    own = f.scratch.keep(own_weights(edge, nodes))
+    told = own.withColumnRenamed("w", "own").join(f.below(own), "node", "left").join(f.damaged().withColumn("_bad", F.lit(True)), "node", "left")
+    bad = F.coalesce("_bad", F.lit(False))
+    return told.select(F.col("node").alias("inode"), "own", F.when(bad, F.col("own")).otherwise(F.col("w")).alias("weight"), bad.alias("damaged"))
 
 
 def ancestors_of(edge: DataFrame, inodes: DataFrame) -> DataFrame:
     """The directories above ``inodes`` (and the inodes): the scope that a walk for changes must visit.
 
-    A frontier moves up; it is anti-joined with what was visited, so cycles
-    end, and each round reads only the parents of the last frontier.
+    By the jumps that doubling has found, so in as many joins as the depth has
+    bits; cycles end. Runs jobs.
+    """
+    asked = inodes.select("inode").dropna().distinct()
+    parents = edge.join(asked, "inode", "left_semi").select(F.col("parent").alias("node")).dropna().distinct()
+    return asked.unionByName(forest(edge).ancestors(parents).select(F.col("node").alias("inode"))).distinct()
+
+
+def moves_refused(edge: DataFrame, moves: DataFrame) -> DataFrame:
+    """src, dst, refused of each move of a directory src into a directory dst: refused if src is dst or above it.
+
+    Each move climbs from dst by the jumps of doubling; a chain that ends at a
+    directory of several parents goes on by what reaches that one.
     """
-    scratch = Scratch(edge.sparkSession)
-    up = scratch.keep(entries(edge).select("inode", "parent").dropna().distinct())
-    seen = frontier = scratch.keep(inodes.select("inode").dropna().distinct())
-    while True:
-        step = frontier.join(up, "inode").select(F.col("parent").alias("inode")).distinct().join(seen, "inode", "left_anti")
-        frontier = scratch.keep(step)
-        if frontier.limit(1).count() == 0:
-            return seen
-        grown = scratch.keep(seen.unionByName(frontier))
-        seen = grown
+    f = forest(edge)
+    asked = f.scratch.keep(moves.select("src", "dst").dropna().distinct())
+    climbed = f.chains.above(asked.select(F.col("dst").alias("node"), "src", "dst"), ["src", "dst"])
+    if f.n_shared:
+        climbed = f.scratch.keep(climbed)
+        met = climbed.join(f.shared.select("node"), "node", "left_semi")
+        over = met.join(f.reach.select("x", F.col("y").alias("node")), "node").select("x", "src", "dst").distinct()
+        parents = over.join(f.entries.select(F.col("_c").alias("x"), F.col("_p").alias("node")), "x").select("node", "src", "dst").distinct()
+        climbed = climbed.unionByName(over.withColumnRenamed("x", "node")).unionByName(f.chains.above(parents, ["src", "dst"]))
+    hit = climbed.where("node = src").select("src", "dst").distinct().withColumn("_hit", F.lit(True))
+    return asked.join(hit, ["src", "dst"], "left").select("src", "dst", (F.coalesce("_hit", F.lit(False)) | (F.col("src") == F.col("dst"))).alias("refused"))
 
 
 def outside_scope(edge: DataFrame, scope: DataFrame) -> DataFrame:

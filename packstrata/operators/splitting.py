@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packstrata.functions.scalar import ENTRY_WEIGHT
-from packstrata.operators.namespace import entries, subtree_weights
-from packstrata.session import Scratch
+from packstrata.operators.hierarchy import Chains, forest
+from packstrata.operators.namespace import own_weights
 
 
 def peel(children: DataFrame, own: DataFrame, smax: int) -> DataFrame:
@@ -26,44 +26,43 @@ def peel(children: DataFrame, own: DataFrame, smax: int) -> DataFrame:
 
 
 def split(edge: DataFrame, nodes: DataFrame, smax: int) -> DataFrame:
-    """inode, weight (what stays with the directory), catalog (true of roots of catalogs) for every directory of a sound tree.
+    """inode, weight (what stays with the directory), catalog (true of roots of catalogs) for every directory.
 
-    Only directories whose whole subtree exceeds ``smax`` can lose a child, so
-    only they are walked, level by level from the deepest; there are as many
-    rounds as the heavy part of the tree is deep. All others keep their
-    subtree's weight, which doubling has found.
+    A directory of several parents belongs to its smallest (parent, name). Only
+    directories whose whole subtree exceeds ``smax`` can lose a child, so only
+    they are walked, level by level from the deepest: which children go depends
+    on what theirs have left. All others keep their subtree's weight, which
+    doubling has found. Damaged directories (on or below a cycle) stay whole,
+    with their own weight.
     """
-    scratch = Scratch(edge.sparkSession)
-    whole = scratch.keep(subtree_weights(edge, nodes))
-    up = entries(edge).join(whole.select("inode"), "inode", "left_semi").select("inode", "parent").distinct()
-    tree = scratch.keep(whole.join(up, "inode", "left"))
-    heavy = tree.where(F.col("weight") > smax).select("inode", "parent", "own")
-    # depth among heavy directories: every ancestor of one is heavy too
-    level = heavy.join(heavy.select(F.col("inode").alias("parent")), "parent", "left_anti").select("inode", F.lit(0).alias("level"))
-    levels = [scratch.keep(level)]
-    while True:
-        last = levels[-1].select(F.col("inode").alias("parent"), "level")
-        deeper = scratch.keep(heavy.join(last, "parent").select("inode", (F.col("level") + 1).alias("level")))
-        if deeper.limit(1).count() == 0:
-            break
-        levels.append(deeper)
-    # weights of heavy directories replace those of their whole subtrees, from below
+    f = forest(edge)
+    scratch = f.scratch
+    own = scratch.keep(own_weights(edge, nodes).withColumnRenamed("w", "own"))
+    damaged = f.damaged()
+    sound = f.nodes.join(damaged, "node", "left_anti").select("node", F.col("_p").alias("up"))
+    links, n_open = scratch.keep_counted(sound.select("node", "up", F.lit("").alias("seg"), F.lit(False).alias("shared")), F.col("up").isNotNull().cast("int"))
+    chains = Chains(links, n_open, scratch, None)
+    weights = chains.below(own.join(links.select("node"), "node").select("node", F.col("own").alias("w")))
+    tree = links.select("node", "up").join(own, "node").join(weights, "node").join(chains.done.select("node", "dist"), "node")
+    tree = scratch.keep(tree.select(F.col("node").alias("inode"), F.col("up").alias("parent"), "own", F.col("w").alias("weight"), F.col("dist").alias("level")))
+    # every ancestor of a heavy directory is heavy too
+    heavy = tree.where(F.col("weight") > smax).select("inode", "parent", "own", "level")
     light = tree.where(F.col("weight") <= smax).select("inode", "parent", "weight")
+    deepest = heavy.agg(F.max("level")).first()[0]
     known, told = None, []
-    for at in reversed(levels):
-        parents = at.select(F.col("inode").alias("parent"))
+    for level in range(-1 if deepest is None else deepest, -1, -1):
+        at = heavy.where(F.col("level") == level)
         child = light if known is None else light.unionByName(known)
-        children = child.join(parents, "parent", "left_semi").select("parent", F.col("inode").alias("child"), "weight")
-        own = heavy.join(at.select("inode"), "inode", "left_semi").select(F.col("inode").alias("parent"), "own")
-        peeled = scratch.keep(peel(children, own, smax))
+        children = child.join(at.select(F.col("inode").alias("parent")), "parent", "left_semi").select("parent", F.col("inode").alias("child"), "weight")
+        mine = at.select(F.col("inode").alias("parent"), "own")
+        peeled = scratch.keep(peel(children, mine, smax))
         told.append(peeled.where("peeled").select(F.col("child").alias("inode")))
         kept = peeled.groupBy("parent").agg(F.sum(F.when(F.col("peeled"), F.lit(ENTRY_WEIGHT)).otherwise(F.col("weight"))).alias("_w"))
-        now = own.join(kept, "parent", "left").select(F.col("parent").alias("inode"), (F.col("own") + F.coalesce("_w", F.lit(0))).alias("weight"))
-        now = now.join(heavy.select("inode", "parent"), "inode")
+        now = mine.join(kept, "parent", "left").select(F.col("parent").alias("inode"), (F.col("own") + F.coalesce("_w", F.lit(0))).alias("weight")).join(at.select("inode", "parent"), "inode")
         known = scratch.keep(now if known is None else known.unionByName(now))
     result = light.select("inode", "weight") if known is None else light.select("inode", "weight").unionByName(known.select("inode", "weight"))
-    tops = tree.join(whole.select(F.col("inode").alias("parent")), "parent", "left_anti").select("inode")
-    roots = tops
+    result = result.unionByName(own.join(damaged, "node", "left_semi").select(F.col("node").alias("inode"), F.col("own").alias("weight")))
+    roots = tree.where("parent is null").select("inode")
     for t in told:
         roots = roots.unionByName(t)
     return result.join(roots.distinct().withColumn("catalog", F.lit(True)), "inode", "left").withColumn("catalog", F.coalesce("catalog", F.lit(False)))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from packstrata.functions import scalar as S
 from packstrata.operators import folds, integrity, ledger, splitting
 from packstrata.operators import liveness as L
-from packstrata.operators.hierarchy import hierarchy
+from packstrata.operators import namespace as N
+from packstrata.operators.asof import positions
 from packstrata.plans.registry import Registry
 from packstrata.sources.tables import table
 
@@ -140,9 +141,10 @@ def _retained(spark: SparkSession, d: str) -> DataFrame:
 
     Without any chunk that names a pack there are no refs to go by, and the sweep is refused.
     """
-    named = table(spark, d, "ochunk").where("pack is not null").select(F.col("pack").alias("name"))
-    if named.limit(1).count() == 0:
-        raise ValueError("no chunk names a pack: every pack would count as garbage")
+    try:
+        named = L.refuse_empty(table(spark, d, "ochunk").where("pack is not null").select(F.col("pack").alias("name")))
+    except L.NothingLive as e:
+        raise L.NothingLive("no chunk names a pack: every pack would count as garbage") from e
     return named.unionByName(packs(spark, d).where(F.col("dead") > NOW - GRACE).select("name")).distinct()
 
 
@@ -294,21 +296,34 @@ def catalog_split(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("reachable", """with recursive l as (select distinct parent src, inode dst from edge where inode in (select parent from edge)), w(id) as (select 1::bigint union select l.dst from l join w on l.src = w.id) select id from w""")
 def reachable_directories(spark: SparkSession, d: str) -> DataFrame:
-    """Directories reachable from the root, level by level, cycles included."""
+    """Directories reachable from the root, cycles included."""
     e = table(spark, d, "edge")
     links = e.join(e.select(F.col("parent").alias("inode")).distinct(), "inode", "left_semi").select(F.col("parent").alias("src"), F.col("inode").alias("dst")).distinct()
     return L.reachable(links, spark.range(1, 2).toDF("id")).select("id")
 
 
-@R.query("rename_into_self", """with recursive e as (select distinct parent, inode from edge), asked as (select distinct parent src, inode dst from edge where type = 2 and inode in (select parent from edge)),
-up(dst, a) as (select dst, src from asked union select up.dst, e.parent from up join e on e.inode = up.a)
-select src, dst, exists (select 1 from up where up.dst = asked.src and up.a = asked.dst) or src = dst as refused from asked""")
+@R.query("rename_into_self", """with recursive e as (select distinct parent, inode from edge), dirs as (select n, row_number() over (order by sha256(cast(n as varchar)), n) k from (select distinct parent n from e)),
+asked as (select d.n src, t.n dst from dirs d join dirs t on t.k = (d.k + 1) % (select count(*) + 1 from dirs) or t.k = 1 and d.k = (select count(*) from dirs) union select inode, parent from e where inode in (select parent from e) union select parent, inode from e where inode in (select parent from e)),
+up(n, a) as (select n, n from dirs union select up.n, e.parent from up join e on e.inode = up.a)
+select src, dst, exists (select 1 from up where up.n = asked.dst and up.a = asked.src) as refused from asked""")
 def rename_into_self(spark: SparkSession, d: str) -> DataFrame:
-    """Whether moving a directory's parent into the directory would close a loop that is already there: is the child above its parent."""
+    """Whether moving directory src into directory dst would put it below itself: is src above dst, or dst itself.
+
+    Asked of every directory against the next one in the order of a hash, and
+    of both ends of every edge between directories, either way.
+    """
     e = table(spark, d, "edge")
-    found = hierarchy(e, order="generation").join(e.select(F.col("parent").alias("inode")).distinct(), "inode", "left_semi")
-    told = found.join(e.where("type = 2").select("parent", "inode").distinct(), ["parent", "inode"], "left_semi")
-    return told.groupBy(F.col("parent").alias("src"), F.col("inode").alias("dst")).agg(F.max(F.col("state") == "cycle").alias("refused"))
+    return N.moves_refused(e, _moves(e))
+
+
+def _moves(e: DataFrame) -> DataFrame:
+    dirs = e.select(F.col("parent").alias("n")).dropna().distinct()
+    hashed = positions(dirs.select(F.struct(F.sha2(F.col("n").cast("string"), 256).alias("h"), "n").alias("k")), "k").select(F.col("k.n").alias("n"), "place")
+    count = dirs.count()
+    after = hashed.select(F.col("n").alias("dst"), F.pmod(F.col("place") - 1 + count, F.lit(count)).alias("place"))
+    ends = e.join(dirs.select(F.col("n").alias("inode")), "inode", "left_semi").select("parent", "inode").dropna()
+    both = ends.select(F.col("inode").alias("src"), F.col("parent").alias("dst")).unionByName(ends.select(F.col("parent").alias("src"), F.col("inode").alias("dst")))
+    return hashed.select(F.col("n").alias("src"), "place").join(after, "place").select("src", "dst").unionByName(both).distinct()
 
 
 @R.query("records_out_of_order", "select pack, key from (select pack, off, key, lag(key) over (partition by pack order by off, key) b from (select distinct pack, off, key from pack_entry)) where b >= key")

@@ -141,12 +141,10 @@ def lease_live(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("subtree_weights", f"""with recursive {EDGE_SQL}, {HEAD_SQL},
 own as (select e.parent n, sum(200 + case when e.type = 1 and coalesce(h.length, 0) <= 2048 then coalesce(h.length, 0) else 0 end) w from e left join (select inode, length from head) h on h.inode = e.inode group by 1),
-up as (select inode n, min(parent) p, count(*) c from e where inode in (select n from own) group by 1),
-anc(n, a, ok) as (select n, n, n not in (select n from up) from own where n not in (select n from up where c > 1)
-  union select anc.n, up.p, up.p not in (select n from up) from anc join up on up.n = anc.a where up.c = 1),
-sound as (select n from anc group by n having bool_or(a not in (select n from up) or a in (select n from up where c > 1)))
-select own.n as inode, cast(own.w as bigint) as own, cast(sum(b.w) as bigint) as weight from own join sound on sound.n = own.n
-join anc on anc.a = own.n and anc.n in (select n from sound) join own b on b.n = anc.n group by 1, 2""")
+step as (select distinct parent a, inode b from e where inode in (select n from own)), reach(a, b) as (select a, b from step union select r.a, s.b from reach r join step s on r.b = s.a),
+bad as (select a n from reach where a = b union select b from reach where a in (select a from reach where a = b)),
+total as (select x.a n, sum(own.w) t from (select n a, n b from own union select a, b from reach) x join own on own.n = x.b group by 1)
+select own.n as inode, cast(own.w as bigint) as own, cast(case when own.n in (select n from bad) then own.w else t end as bigint) as weight, own.n in (select n from bad) as damaged from own join total on total.n = own.n""")
 def subtree_weights(spark: SparkSession, d: str) -> DataFrame:
     return N.subtree_weights(table(spark, d, "edge"), head(spark, d))
 

@@ -87,11 +87,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def keep_counted(self, df: DataFrame, count: Column) -> tuple[DataFrame, int]:
-        """As ``keep``, with a sum over the rows that is taken while they are written; 0 of no rows."""
+    def keep_counted(self, df: DataFrame, *counts: Column) -> tuple:
+        """As ``keep``, with the sum of each of ``counts`` over the rows, taken while they are written; 0 of no rows."""
         seen = Observation()
-        kept = self.keep(df.observe(seen, F.coalesce(F.sum(count), F.lit(0)).cast("long").alias("n")))
-        return kept, seen.get["n"]
+        sums = {f"n{i}": F.coalesce(F.sum(c), F.lit(0)).cast("long") for i, c in enumerate(counts)}
+        kept = self.keep(df.observe(seen, *(c.alias(n) for n, c in sums.items())))
+        return (kept, *(seen.get[n] for n in sums))
 
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
