@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packstrata.functions.scalar import conflict_name
+from packstrata.operators.asof import positions
+from packstrata.session import Scratch
+
 #: A kind that holds others and is never decided as a unit.
 DIRECTORY = 2
 
@@ -52,30 +56,48 @@ def below_conflicts(decided: DataFrame, path: str) -> DataFrame:
     return spread.join(cut, "_root", "left_semi").select(path).distinct()
 
 
-def merged(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: list[str], kind: str, content: list[str], directory: int = DIRECTORY, keep_both: bool = False) -> DataFrame:
-    """The rows of the merged tree: key, kind, content, origin.
+def walked(decided: DataFrame, path: str) -> DataFrame:
+    """The decisions that a walk from the root comes to: none below a change of type."""
+    return decided.join(below_conflicts(decided, path), path, "left_anti")
+
 
-    Conflicts keep ours (nothing if ours is gone). With ``keep_both`` a conflict present on both sides, neither
-    a directory, also has theirs, of origin 'theirs-kept', to be renamed. A
-    directory deleted on one side stays if the other side still has it.
+def merged(base: DataFrame, ours: DataFrame, theirs: DataFrame, path: str, kind: str, content: list[str], inode: str, directory: int = DIRECTORY, branch: str | None = None) -> DataFrame:
+    """The rows of the merged tree: path, kind, content, inode, origin.
+
+    Conflicts keep ours (nothing if ours is gone), and below a change of type
+    ours stays as it is, so no file ever has entries below it. With ``branch``,
+    the name of theirs, a conflict present on both sides, neither a directory,
+    also keeps theirs under a name that says so, with a new inode above all of
+    ours, numbered in order of path; origin is then 'theirs-kept'. A directory
+    deleted on one side stays if the other side still has it.
     """
-    plan = three_way(base, ours, theirs, key, kind, content, directory)
-    rows = lambda side, name: side.select(*key, F.struct(kind, *content).alias(name))
-    all_ = plan.join(rows(ours, "_o"), key, "left").join(rows(theirs, "_t"), key, "left")
-    first = F.when(F.col("outcome") == "take-theirs", F.col("_t")).when(F.col("outcome").isin("take-ours", "same", "conflict"), F.col("_o")).when(F.col("outcome") == "descend", F.coalesce("_o", "_t"))
-    origin = F.when(F.col("outcome") == "take-theirs", "theirs").otherwise("ours")
-    entry = lambda row, name: F.struct(row.alias("row"), name.alias("origin"))
-    both = (F.col("outcome") == "conflict") & F.col("_o").isNotNull() & F.col("_t").isNotNull() & (F.col(f"_o.{kind}") != directory) & (F.col(f"_t.{kind}") != directory)
-    second = F.when(both, F.col("_t")) if keep_both else F.lit(None).cast(all_.schema["_t"].dataType)
-    out = all_.select(*key, F.inline(F.filter(F.array(entry(first, origin), entry(second, F.lit("theirs-kept"))), lambda x: x["row"].isNotNull())))
-    return out.select(*key, "row.*", "origin")
+    scratch = Scratch(ours.sparkSession)
+    plan = scratch.keep(three_way(base, ours, theirs, [path], kind, content, directory))
+    plan = plan.join(below_conflicts(plan, path).withColumn("_below", F.lit(True)), path, "left")
+    rows = lambda side, name: side.select(path, F.struct(kind, *content, inode).alias(name))
+    all_ = plan.join(rows(ours, "_o"), path, "left").join(rows(theirs, "_t"), path, "left")
+    outcome = F.when(F.col("_below"), "conflict").otherwise(F.col("outcome"))
+    first = F.when(outcome == "take-theirs", F.col("_t")).when(outcome.isin("take-ours", "same", "conflict"), F.col("_o")).when(outcome == "descend", F.coalesce("_o", "_t"))
+    origin = F.when(outcome == "take-theirs", "theirs").otherwise("ours")
+    both = F.col("_below").isNull() & (F.col("outcome") == "conflict") & F.col("_o").isNotNull() & F.col("_t").isNotNull() & (F.col(f"_o.{kind}") != directory) & (F.col(f"_t.{kind}") != directory)
+    out = all_.select(path, first.alias("row"), origin.alias("origin")).where("row is not null").select(path, "row.*", "origin")
+    if branch is None:
+        return out
+    kept = scratch.keep(all_.where(both).select(path, "_t.*"))
+    top = ours.agg(F.max(inode)).first()[0] or 0
+    parts = F.split(F.col(path), "/")
+    named = F.concat_ws("/", F.slice(parts, 1, F.size(parts) - 1), conflict_name(F.element_at(parts, -1), branch))
+    fresh = kept.join(positions(kept, path), path).select(named.alias(path), kind, *content, (F.lit(top + 1) + F.col("place")).alias(inode), F.lit("theirs-kept").alias("origin"))
+    return out.unionByName(fresh)
 
 
-def can_fast_forward(base_root: str, ours_root: str, theirs_root: str) -> str | None:
-    """Which side is the merge without looking at any row: equal root hashes mean equal trees."""
-    if ours_root == theirs_root or theirs_root == base_root:
-        return "ours"
-    return "theirs" if ours_root == base_root else None
+def fast_forward(heads: DataFrame) -> DataFrame:
+    """``heads`` (name, base, ours, theirs: root hashes) with ``merge``: the side that is the merge without looking at any row, else null.
+
+    Equal root hashes mean equal trees, so a side that has not moved on takes the other.
+    """
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    return heads.withColumn("merge", F.when(same("ours", "theirs") | same("theirs", "base"), "ours").when(same("ours", "base"), "theirs"))
 
 
 def difference(old: DataFrame, new: DataFrame, key: list[str], content: list[str], attributes: list[str]) -> DataFrame:
@@ -97,7 +119,11 @@ def collisions(ours: DataFrame, theirs: DataFrame, inode: str, cut: int) -> Data
     return ours.select(inode).where(F.col(inode) >= cut).distinct().join(theirs.select(inode).distinct(), inode)
 
 
-def merge_base(head: DataFrame, refs: DataFrame) -> DataFrame:
-    """Refs (name, kind, hash) whose hash is the fork's base; tags before branches."""
-    found = refs.join(head.select(F.col("base_hash").alias("hash")).distinct(), "hash")
-    return found.orderBy(F.when(F.col("kind") == "tag", 0).otherwise(1), "name")
+def merge_bases(forks: DataFrame, refs: DataFrame) -> DataFrame:
+    """Per fork (name, base_hash) the ref (ref, kind, hash) that still names its base, tags before branches, then by name; null if none does.
+
+    Refs without a hash could not be read and are passed over.
+    """
+    order = F.struct(F.when(F.col("kind") == "tag", 0).otherwise(1).alias("o"), F.col("ref"), F.col("kind"))
+    best = refs.where(F.col("hash").isNotNull()).groupBy(F.col("hash").alias("base_hash")).agg(F.min(order).alias("_b"))
+    return forks.join(best, "base_hash", "left").select("name", "base_hash", F.col("_b.ref").alias("ref"), F.col("_b.kind").alias("kind"))

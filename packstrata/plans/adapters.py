@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from packstrata.operators.hierarchy import hierarchy
+from packstrata.plans.problems import R as PROBLEMS
+from packstrata.session import Scratch
 from packstrata.sources.tables import table
 
+P2_SQL = PROBLEMS.sql["p2_found"]
+
 #: Order of a lineitem within its order; the columns together are unique.
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
 
@@ -40,21 +45,40 @@ def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-BRANCHES_SQL = """base as (select c_custkey path, c_nationkey kind, c_acctbal len, c_mktsegment body from customer where c_custkey % 11 <> 0),
-ours as (select c_custkey path, case when c_custkey % 17 = 0 then (c_nationkey + 1) % 25 else c_nationkey end kind, c_acctbal + case when c_custkey % 5 = 0 then 1 else 0 end len, c_mktsegment body from customer where c_custkey % 7 <> 0),
-theirs as (select c_custkey path, case when c_custkey % 17 = 0 then (c_nationkey + 2) % 25 else c_nationkey end kind, c_acctbal + case when c_custkey % 3 = 0 then case when c_custkey % 2 = 0 then 1 else 2 end else 0 end len, c_mktsegment body from customer where c_custkey % 13 <> 0)"""
+ENTRY_SQL = f"""ent as (select p.path, e.parent, e.name, e.inode, e.type, e.generation from (select * from ({P2_SQL}) where state = 'tree') p join (select distinct * from edge) e on e.parent = p.parent and decode(e.name) = split_part(p.path, '/', -1))"""
 
+# generations at quarters of those present: the fork, and the two heads
+BRANCHES_SQL = f"""{ENTRY_SQL}, gens as (select generation g, row_number() over (order by generation) r, count(*) over () n from (select distinct generation from node)),
+forks as (select max(g) filter (r <= (n + 1) // 2) base, max(g) filter (r <= (3 * n + 3) // 4) ours, max(g) theirs from gens),
+at_gen as (select distinct generation, inode, length, mtime_ns from node),
+base as (select path, parent, type kind, length len, mtime_ns body, e.inode from ent e, forks f join at_gen n on n.generation = f.base where n.inode = e.inode and e.generation <= f.base),
+ours as (select path, parent, type kind, length len, mtime_ns body, e.inode from ent e, forks f join at_gen n on n.generation = f.ours where n.inode = e.inode and e.generation <= f.ours),
+theirs as (select path, parent, case when type = 2 and starts_with(sha256(path), '0') then 3 else type end kind, length len, mtime_ns body, e.inode from ent e, forks f join at_gen n on n.generation = f.theirs where n.inode = e.inode and e.generation <= f.theirs)"""
 
-def branches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three states of one tree, made of customers: the base, ours and theirs (path, kind, len, body)."""
-    c = table(spark, d, "customer")
-    k, n = F.col("c_custkey"), F.col("c_nationkey")
 
-    def state(leave: int, shift: int, grow) -> DataFrame:  # noqa: ANN001
-        kind = F.when(k % 17 == 0, (n + shift) % 25).otherwise(n) if shift else n
-        return c.where(k % leave != 0).select(k.alias("path"), kind.alias("kind"), (F.col("c_acctbal") + grow).alias("len"), F.col("c_mktsegment").alias("body"))
+def placed_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Sound entries with their path: path, parent, name, inode, type, generation. Runs jobs."""
+    edge = table(spark, d, "edge").distinct()
+    found = hierarchy(edge, order="generation").where("state = 'tree'").select("parent", F.element_at(F.split("path", "/"), -1).cast("binary").alias("name"), "path")
+    return Scratch(spark).keep(edge.join(found, ["parent", "name"]).select("path", "parent", "name", "inode", "type", "generation"))
 
-    return (
-        state(11, 0, F.lit(0)), state(7, 1, F.when(k % 5 == 0, 1).otherwise(0)),
-        state(13, 2, F.when(k % 3 == 0, F.when(k % 2 == 0, 1).otherwise(2)).otherwise(0)),
-    )
+
+def branches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three states of one tree by path (path, parent, kind, len, body, inode): the fork, ours and theirs.
+
+    A state has the entries published up to a generation whose inodes that
+    generation's snapshot holds, with their length and mtime. The fork is half
+    way through the generations, ours at three quarters, theirs the head.
+    Theirs has made symlinks of one directory in sixteen (by a hash of the
+    path), with all that lies below still there.
+    """
+    placed, node = placed_entries(spark, d), table(spark, d, "node").select("generation", "inode", "length", "mtime_ns")
+    gens = sorted(r[0] for r in node.select("generation").distinct().collect())  # one number a generation
+    n = len(gens)
+
+    def state(generation: int, kind: Column) -> DataFrame:
+        at = node.where(F.col("generation") == generation).drop("generation").distinct()
+        return placed.where(F.col("generation") <= generation).join(at, "inode").select("path", "parent", kind.alias("kind"), F.col("length").alias("len"), F.col("mtime_ns").alias("body"), "inode")
+
+    turned = F.when((F.col("type") == 2) & F.sha2(F.col("path").cast("binary"), 256).startswith("0"), 3).otherwise(F.col("type"))
+    return state(gens[(n + 1) // 2 - 1], F.col("type")), state(gens[(3 * n + 3) // 4 - 1], F.col("type")), state(gens[-1], turned)

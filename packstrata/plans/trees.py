@@ -13,10 +13,10 @@ from packstrata.operators.journal import sizes_left, standing
 from packstrata.plans.adapters import BRANCHES_SQL, VERSIONS_SQL, branches, day_versions
 from packstrata.plans.problems import STANDING
 from packstrata.plans.registry import Registry
+from packstrata.session import Scratch
 from packstrata.sources.tables import table
 
 R = Registry()
-DIR = 0  # the kind of a customer that stands for a directory
 
 
 @R.query("newest_wins", "select identity, arrival, clen from (select *, row_number() over (partition by identity order by generation desc, arrival desc) rn from dedup_chunk where identity is not null) where rn = 1")
@@ -77,35 +77,71 @@ def distinct_packs_of_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 DECIDE_SQL = """case when o.path is not null and t.path is not null then case
-   when o.kind <> t.kind then 'conflict:type-change' when o.kind = 0 then 'descend' when o.len = t.len and o.body = t.body then 'same' when b.path is null then 'conflict:add-add'
+   when o.kind <> t.kind then 'conflict:type-change' when o.kind = 2 then 'descend' when (o.len, o.body) is not distinct from (t.len, t.body) then 'same' when b.path is null then 'conflict:add-add'
    when (o.kind, o.len, o.body) is distinct from (b.kind, b.len, b.body) and (t.kind, t.len, t.body) is distinct from (b.kind, b.len, b.body) then 'conflict:both-modified'
    when (t.kind, t.len, t.body) is distinct from (b.kind, b.len, b.body) then 'take-theirs' when (o.kind, o.len, o.body) is distinct from (b.kind, b.len, b.body) then 'take-ours' else 'conflict:both-modified' end
- when o.path is not null then case when o.kind = 0 then 'descend' when b.path is null then 'take-ours' when (o.kind, o.len, o.body) is distinct from (b.kind, b.len, b.body) then 'conflict:modify-delete' else 'drop' end
- when t.path is not null then case when t.kind = 0 then 'descend' when b.path is null then 'take-theirs' when (t.kind, t.len, t.body) is distinct from (b.kind, b.len, b.body) then 'conflict:modify-delete' else 'drop' end
+ when o.path is not null then case when o.kind = 2 then 'descend' when b.path is null then 'take-ours' when (o.kind, o.len, o.body) is distinct from (b.kind, b.len, b.body) then 'conflict:modify-delete' else 'drop' end
+ when t.path is not null then case when t.kind = 2 then 'descend' when b.path is null then 'take-theirs' when (t.kind, t.len, t.body) is distinct from (b.kind, b.len, b.body) then 'conflict:modify-delete' else 'drop' end
  else 'drop' end"""
-ALL_SQL = f"""{BRANCHES_SQL}, x as (select coalesce(b.path, o.path, t.path) path, {DECIDE_SQL} v, o.path is not null has_ours, o.kind ok, o.len ol, o.body ob, t.kind tk, t.len tl, t.body tb
-from base b full join ours o on o.path = b.path full join theirs t on t.path = coalesce(b.path, o.path))"""
+ALL_SQL = f"""{BRANCHES_SQL}, x as (select coalesce(b.path, o.path, t.path) path, {DECIDE_SQL} v, o.path is not null has_ours, o.kind ok, o.len ol, o.body ob, o.inode oi, t.kind tk, t.len tl, t.body tb, t.inode ti
+from base b full join ours o on o.path = b.path full join theirs t on t.path = coalesce(b.path, o.path)),
+cut as (select path from x where v = 'conflict:type-change'), w as (select *, exists (select 1 from cut where starts_with(x.path, cut.path || '/')) below from x)"""
 
 
 @R.query("merge_plan", f"""with {ALL_SQL} select path, split_part(v, ':', 1) as outcome, nullif(split_part(v, ':', 2), '') as conflict,
-case split_part(v, ':', 1) when 'take-ours' then 'ours' when 'take-theirs' then 'theirs' when 'drop' then case when has_ours then 'theirs' else 'ours' end end as taken from x""")
+case split_part(v, ':', 1) when 'take-ours' then 'ours' when 'take-theirs' then 'theirs' when 'drop' then case when has_ours then 'theirs' else 'ours' end end as taken from w where not below""")
 def merge_plan(spark: SparkSession, d: str) -> DataFrame:
-    return M.three_way(*branches(spark, d), ["path"], "kind", ["len", "body"], DIR)
+    """What is decided of every path of three trees; nothing is, below a change of type."""
+    plan = Scratch(spark).keep(M.three_way(*branches(spark, d), ["path"], "kind", ["len", "body"]))
+    return M.walked(plan, "path")
 
 
-@R.query("merge_counts", f"""with {ALL_SQL} select v as verdict, cast(count(*) as bigint) as n from x group by 1""")
+@R.query("merge_counts", f"""with {ALL_SQL} select v as verdict, cast(count(*) as bigint) as n from w where not below group by 1""")
 def merge_counts(spark: SparkSession, d: str) -> DataFrame:
-    plan = M.three_way(*branches(spark, d), ["path"], "kind", ["len", "body"], DIR)
-    return plan.groupBy(F.concat_ws(":", "outcome", "conflict").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    return merge_plan(spark, d).groupBy(F.concat_ws(":", "outcome", "conflict").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.query("merge_apply", f"""with {ALL_SQL}, y as (select *, split_part(v, ':', 1) r from x)
-select path, case r when 'take-theirs' then tk when 'descend' then coalesce(ok, tk) else ok end as kind, case r when 'take-theirs' then tl when 'descend' then coalesce(ol, tl) else ol end as len,
- case r when 'take-theirs' then tb when 'descend' then coalesce(ob, tb) else ob end as body, case r when 'take-theirs' then 'theirs' else 'ours' end as origin
+STEM = "regexp_extract(split_part(path, '/', -1), '^(.+)(\\.[^.]*)$', {}, 's')"
+
+
+@R.query("merge_apply", f"""with {ALL_SQL}, y as (select *, case when below then 'conflict' else split_part(v, ':', 1) end r from w),
+kept as (select *, substr(path, 1, length(path) - length(split_part(path, '/', -1))) || case when {STEM.format(1)} <> '' then {STEM.format(1)} || ' (from theirs)' || {STEM.format(2)} else split_part(path, '/', -1) || ' (from theirs)' end np,
+ (select max(inode) from ours) + row_number() over (order by path) ni from y where not below and r = 'conflict' and ok is not null and tk is not null and ok <> 2 and tk <> 2)
+select path, case r when 'take-theirs' then tk when 'descend' then coalesce(ok, tk) else ok end as kind, case r when 'take-theirs' then tl when 'descend' then case when ok is null then tl else ol end else ol end as len,
+ case r when 'take-theirs' then tb when 'descend' then case when ok is null then tb else ob end else ob end as body, case r when 'take-theirs' then ti when 'descend' then coalesce(oi, ti) else oi end as inode, case r when 'take-theirs' then 'theirs' else 'ours' end as origin
 from y where r in ('take-theirs', 'descend') or r in ('take-ours', 'same', 'conflict') and ok is not null
-union all select path, tk, tl, tb, 'theirs-kept' from y where r = 'conflict' and ok is not null and tk is not null and ok <> 0 and tk <> 0""")
+union all select np, tk, tl, tb, ni, 'theirs-kept' from kept""")
 def merge_apply(spark: SparkSession, d: str) -> DataFrame:
-    return M.merged(*branches(spark, d), ["path"], "kind", ["len", "body"], DIR, keep_both=True)
+    """The merged tree, with theirs of a conflict kept under another name."""
+    return M.merged(*branches(spark, d), "path", "kind", ["len", "body"], "inode", branch="theirs")
+
+
+@R.query("merge_base", """with refs as (select 'tag' kind, name ref, lower(hex(trailer_hash)) hash from (select distinct name, trailer_hash from pack where condemned_at_unix is not null) union all select 'branch', name, lower(hex(trailer_hash)) from (select distinct name, trailer_hash from pack where condemned_at_unix is null)),
+forks as (select distinct identity name, lower(hex(p.trailer_hash)) base_hash from ochunk o join pack p on p.name = o.pack)
+select f.name, f.base_hash, b.ref, b.kind from forks f left join (select *, row_number() over (partition by hash order by kind desc, ref) r from refs where hash is not null) b on b.hash = f.base_hash and b.r = 1""")
+def merge_base(spark: SparkSession, d: str) -> DataFrame:
+    """Which ref still names the root that each fork began from.
+
+    Packs stand for refs (condemned ones for tags) and their trailers' hashes
+    for root hashes; a chunk is a fork of the root of its pack.
+    """
+    p = table(spark, d, "pack").select("name", "trailer_hash", F.col("condemned_at_unix").isNotNull().alias("tag")).distinct()
+    refs = p.select(F.col("name").alias("ref"), F.when(F.col("tag"), "tag").otherwise("branch").alias("kind"), S.hex_of(F.col("trailer_hash")).alias("hash")).distinct()
+    hashes = p.select(F.col("name").alias("pack"), S.hex_of(F.col("trailer_hash")).alias("base_hash")).distinct()
+    forks = table(spark, d, "ochunk").select(F.col("identity").alias("name"), "pack").join(hashes, "pack").select("name", "base_hash").distinct()
+    return M.merge_bases(forks, refs)
+
+
+@R.query("fast_forwards", """with g as (select inode, list(struct_pack(l := length, m := mtime_ns) order by generation) s from (select inode, generation, max(length) length, max(mtime_ns) mtime_ns from node where inode is not null group by 1, 2) group by 1 having count(*) >= 3)
+select inode as name, case when s[2] is not distinct from s[3] or s[3] is not distinct from s[1] then 'ours' when s[2] is not distinct from s[1] then 'theirs' end as merge from g""")
+def fast_forwards(spark: SparkSession, d: str) -> DataFrame:
+    """For each inode of three snapshots or more: the first as the base, the second ours and the third theirs, by a hash of its image."""
+    n = table(spark, d, "node").where("inode is not null").groupBy("inode", "generation").agg(F.max("length").alias("length"), F.max("mtime_ns").alias("mtime_ns"))
+    image = F.sha2(F.concat_ws("|", F.coalesce(F.col("length").cast("string"), F.lit("-")), F.coalesce(F.col("mtime_ns").cast("string"), F.lit("-"))), 256)
+    w = Window.partitionBy("inode").orderBy("generation")
+    first = n.select("inode", image.alias("h"), F.row_number().over(w).alias("k")).where("k <= 3")
+    heads = first.groupBy(F.col("inode").alias("name")).agg(*(F.max(F.when(F.col("k") == i, F.col("h"))).alias(c) for i, c in ((1, "base"), (2, "ours"), (3, "theirs")))).where("theirs is not null")
+    return M.fast_forward(heads).select("name", "merge")
 
 
 @R.query("conflict_names", r"""select p_name as name, case when regexp_extract(p_name, '^(.+)(\.[^.]*)$', 1, 's') <> '' then regexp_extract(p_name, '^(.+)(\.[^.]*)$', 1, 's') || ' (from side)' || regexp_extract(p_name, '^(.+)(\.[^.]*)$', 2, 's') else p_name || ' (from side)' end as kept_as
