@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packstrata.functions.scalar import live_fraction, pack_time_ns
@@ -106,3 +106,41 @@ def space_report(objects: DataFrame, live: DataFrame, now: int, grace: int) -> D
         F.count(F.lit(1)).alias("scanned"), F.count_if(held).alias("retained"), F.count_if(~held & ~old).alias("young"),
         F.count_if(~held & old).alias("candidates"), F.coalesce(F.sum(F.when(~held & old, F.col("size"))), F.lit(0)).alias("bytes"),
     )
+
+
+def retained_generations(published: DataFrame, branch: str, generation: str, keep: int, tags: DataFrame) -> DataFrame:
+    """branch, generation, why of what must be kept: each branch's head, its last ``keep`` generations, and those tagged on any branch.
+
+    ``published`` has a row for each generation of a branch, ``tags`` a
+    generation each; head comes before last, last before tag, as the reason.
+    """
+    rows = published.select(branch, generation).dropna().distinct()
+    rank = F.dense_rank().over(Window.partitionBy(branch).orderBy(F.desc(generation)))
+    told = rows.withColumn("_r", rank).join(F.broadcast(tags.select(generation).dropna().distinct().withColumn("_tag", F.lit(True))), generation, "left")
+    why = F.when(F.col("_r") == 1, "head").when(F.col("_r") <= keep, "last").when(F.col("_tag"), "tag")
+    return told.select(branch, generation, why.alias("why")).where("why is not null")
+
+
+def gc_plan(objects: DataFrame, live: DataFrame, ledger: DataFrame, relisted: DataFrame, now: int, grace: int) -> DataFrame:
+    """name, size and verdict of every object: what a collection does with it.
+
+    'live': a retained root needs it. 'ledger': condemned less than ``grace``
+    seconds ago (``ledger``: name, at). 'unknown-age': its creation time cannot
+    be told, so it is never deleted. 'young': created less than ``grace`` ago.
+    'relisted': needed again by the list read just before deleting. Else
+    'delete'. An empty ``live`` is refused.
+    """
+    flag = lambda df, c: df.select("name").dropna().distinct().withColumn(c, F.lit(True))
+    told = objects.join(flag(refuse_empty(live), "_live"), "name", "left").join(flag(ledger.where(F.col("at") > now - grace), "_held"), "name", "left").join(flag(relisted, "_again"), "name", "left")
+    verdict = (
+        F.when(F.col("_live"), "live").when(F.col("_held"), "ledger").when(F.col("created").isNull(), "unknown-age")
+        .when(F.col("created") > now - grace, "young").when(F.col("_again"), "relisted").otherwise("delete")
+    )
+    return told.select("name", "size", verdict.alias("verdict"))
+
+
+def gc_report(plan: DataFrame, samples: int = 20) -> DataFrame:
+    """verdict, objects, bytes and the first ``samples`` names in order (a capped sample, which is the feature) of a plan."""
+    rank = F.row_number().over(Window.partitionBy("verdict").orderBy("name"))
+    few = plan.withColumn("_r", rank).where(F.col("_r") <= samples).groupBy("verdict").agg(F.array_sort(F.collect_list("name")).alias("sample"))
+    return plan.groupBy("verdict").agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes")).join(few, "verdict")

@@ -11,6 +11,7 @@ from packstrata.operators import liveness as L
 from packstrata.operators import namespace as N
 from packstrata.operators.asof import positions
 from packstrata.plans.registry import Registry
+from packstrata.session import Scratch
 from packstrata.sources.tables import table
 
 R = Registry()
@@ -156,6 +157,61 @@ def space_report(spark: SparkSession, d: str) -> DataFrame:
     return L.space_report(_objects(spark, d), _retained(spark, d), NOW, GRACE)
 
 
+KEEP = 3
+# branches are the compressions of chunks; the oldest generation is tagged; catalogs are live if the root reaches the directory that names them
+ROOTS_SQL = f"""{PACK_SQL}, {PE_SQL}, gens as (select alg, generation, dense_rank() over (partition by alg order by generation desc) r from (select distinct alg, generation from ochunk)),
+kept as (select alg, generation, case when r = 1 then 'head' when r <= {KEEP} then 'last' else 'tag' end why from gens where r <= {KEEP} or generation = (select min(generation) from ochunk)),
+walk(id) as (select 1::bigint union select e.inode from edge e join walk w on e.parent = w.id where e.inode in (select parent from edge)),
+roots as (select distinct unhex(o.identity) key from ochunk o join kept k on k.alg = o.alg and k.generation = o.generation where regexp_matches(o.identity, '^[0-9a-fA-F]{{64}}$') union select catalog_identity from nested where parent in (select id from walk) and catalog_identity is not null)"""
+
+
+@R.query("retained_generations", f"with recursive {ROOTS_SQL} select alg, generation, why from kept")
+def retained_generations(spark: SparkSession, d: str) -> DataFrame:
+    """Heads, the last three generations of each branch, and tags."""
+    return _kept_generations(spark, d)
+
+
+def _kept_generations(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "ochunk")
+    return L.retained_generations(c, "alg", "generation", KEEP, c.agg(F.min("generation").alias("generation")))
+
+
+def _from_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that retained generations need: their chunks, and the catalogs of directories that the root reaches."""
+    kept = F.broadcast(_kept_generations(spark, d).select("alg", "generation"))  # generations by branches
+    chunks = table(spark, d, "ochunk").join(kept, ["alg", "generation"], "left_semi").select(S.parse_hex(F.col("identity"), 32).alias("key"))
+    nested = table(spark, d, "nested").join(reachable_directories(spark, d).select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("catalog_identity").alias("key"))
+    return chunks.unionByName(nested).dropna().distinct()
+
+
+@R.query("sweep", f"""with recursive {ROOTS_SQL} select pe.pack, cast(count(*) as bigint) as entries, cast(sum(pe.length) as bigint) as bytes, cast(count(*) filter (k.key is not null or pe.type in ('sb', 'shard')) as bigint) as live_entries,
+cast(coalesce(sum(pe.length) filter (k.key is not null or pe.type in ('sb', 'shard')), 0) as bigint) as live_bytes from pe left join roots k on k.key = pe.key group by 1""")
+def sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Live bytes of every pack from what retained roots reach; backups and shards are live whatever is referenced."""
+    keys = Scratch(spark).keep(_from_roots(spark, d))
+    return L.pack_liveness(placements(spark, d), keys, F.col("type").isin("sb", "shard")).drop("fraction")
+
+
+@R.query("gc_plan", f"""with recursive {ROOTS_SQL}, named as (select distinct pack n from pe where key in (select key from roots) or type in ('sb', 'shard')), again as (select o.pack n from ochunk o where o.generation = (select max(generation) from ochunk) and o.pack is not null),
+x as (select name, size, dead, {NS_SQL} // 1000000000 made from p)
+select name, size, case when name in (select n from named) then 'live' when dead > {NOW - GRACE} then 'ledger' when made is null then 'unknown-age' when made > {NOW - GRACE} then 'young' when name in (select n from again) then 'relisted' else 'delete' end as verdict from x""")
+def gc_plan(spark: SparkSession, d: str) -> DataFrame:
+    """What a collection does with every pack, after the head's own list of packs was read again."""
+    keys = Scratch(spark).keep(L.refuse_empty(_from_roots(spark, d)))
+    placed = placements(spark, d)
+    live = placed.join(keys, "key", "left_semi").select("pack").unionByName(placed.where("type in ('sb', 'shard')").select("pack")).select(F.col("pack").alias("name")).distinct()
+    c = table(spark, d, "ochunk")
+    again = c.where(F.col("generation") == F.lit(c.agg(F.max("generation")).first()[0])).select(F.col("pack").alias("name"))
+    return L.gc_plan(_objects(spark, d), live, packs(spark, d).select("name", F.col("dead").alias("at")), again, NOW, GRACE)
+
+
+@R.query("gc_report", f"""with plan as ({{GC}}), n as (select *, row_number() over (partition by verdict order by name) r from plan)
+select verdict, cast(count(*) as bigint) as objects, cast(sum(size) as bigint) as bytes, list(name order by name) filter (r <= 20) as sample from n group by 1""".replace("{GC}", R.sql["gc_plan"]))
+def gc_report(spark: SparkSession, d: str) -> DataFrame:
+    """The plan in numbers, with at most 20 names for each verdict."""
+    return L.gc_report(gc_plan(spark, d))
+
+
 @R.query("pack_times", f"with {PACK_SQL} select name, {NS_SQL} as ns from p")
 def pack_times(spark: SparkSession, d: str) -> DataFrame:
     return packs(spark, d).select("name", S.pack_time_ns(F.col("name")).alias("ns"))
