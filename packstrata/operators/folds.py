@@ -40,14 +40,18 @@ def sequential_parts(df: DataFrame, keys: list[str], order: list[str], values: l
     return ordered.mapInArrow(lambda b: _numbered(b, len(keys), begin, flags), schema)
 
 
-def next_fit(target: int) -> Callable:
-    """A container is closed by the first item that does not fit it; the last value is the size."""
+def next_fit(target: int, early: list[int] | None = None) -> Callable:
+    """A container is closed by the first item that does not fit it; the last value is the size. The first containers hold ``early``."""
+    early = early or []
 
-    def begin(used, *row):  # noqa: ANN001, ANN202
+    def begin(state, *row):  # noqa: ANN001, ANN202
         size = row[-1]
-        if used is None or (used > 0 and used + size > target):
-            return True, size
-        return False, used + size
+        if state is None:
+            return True, (size, 0)
+        used, closed = state
+        if used > 0 and size > 0 and used + size > (early[closed] if closed < len(early) else target):
+            return True, (size, closed + 1)
+        return False, (used + size, closed)
 
     return begin
 

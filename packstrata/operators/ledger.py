@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packstrata.operators.asof import running_totals
+
 # Fixed values of the tiering rule: dust below which a run always merges, and the ceiling of a merge.
 TIER_BASE = 256 << 10
 TIER_TARGET = 64 << 20
@@ -36,9 +38,8 @@ def mergeable(refs: DataFrame, group: list[str], order: list[Column], size: str,
 
 
 def within_budget(rows: DataFrame, group: list[str], order: list[Column], cost: str, budget: int) -> DataFrame:
-    """Adds fits: true along ``order`` up to the first row that exceeds the budget. Nothing after it fits."""
-    total = F.sum(cost).over(_running(group, order))
-    return rows.withColumn("fits", total <= budget)
+    """Adds fits: true along ``order`` up to the first row that exceeds the budget. Nothing after it fits. Costs are not negative."""
+    return running_totals(rows, group, order, cost).withColumn("fits", F.col("total") <= budget).drop("place", "total")
 
 
 def carried(prev: DataFrame, dropped: DataFrame, listed: DataFrame, now: int, grace: int) -> DataFrame:
@@ -56,6 +57,6 @@ def last_generations(rows: DataFrame, branch: str, generation: str, keep: int) -
 
 def evictable(entries: DataFrame, group: list[str], age: list[Column], size: str, excess: int, pinned: Column) -> DataFrame:
     """Adds evicted: oldest first, until at least ``excess`` bytes are freed; pinned entries are skipped."""
-    w = _running(group, [pinned.cast("int"), *age])
-    freed = F.sum(F.when(pinned, 0).otherwise(F.col(size))).over(w) - F.when(pinned, 0).otherwise(F.col(size))
-    return entries.withColumn("evicted", ~pinned & (freed < excess))
+    sized = entries.withColumn("_free", F.when(pinned, 0).otherwise(F.col(size)).cast("long"))
+    freed = running_totals(sized, group, [pinned.cast("int"), *age], "_free")
+    return freed.withColumn("evicted", ~pinned & (F.col("total") - F.col("_free") < excess)).drop("place", "total", "_free")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packstrata.functions.scalar import DIRECTORY, ENTRY_WEIGHT, FILE, INLINE_MAX
+from packstrata.functions.scalar import DIRECTORY, ENTRY_WEIGHT, FILE, INLINE_MAX, SYMLINK
 from packstrata.operators.hierarchy import forest
 
 
@@ -151,3 +151,21 @@ def read_range(refs: DataFrame, lo: int, hi: int) -> DataFrame:
     gap = F.col("_a") - F.coalesce(F.lag("_b").over(w), F.lit(lo))
     cut = cut.withColumn("_d", F.concat(zeros(F.greatest(gap, F.lit(0))), F.col("_d")))
     return cut.groupBy("inode").agg(F.expr("listagg(_d) within group (order by _a)").alias("bytes"))
+
+
+def xattr_names(xattrs: DataFrame) -> DataFrame:
+    """inode and the sorted names of its attributes; inodes without any have no row."""
+    return xattrs.groupBy("inode").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def xattr_values(asked: DataFrame, xattrs: DataFrame) -> DataFrame:
+    """The value of each asked (inode, name); ``present`` tells an absent attribute from an empty one."""
+    held = xattrs.select("inode", "name", "value", F.lit(True).alias("_has"))
+    return asked.join(held, ["inode", "name"], "left").select("inode", "name", "value", F.coalesce("_has", F.lit(False)).alias("present"))
+
+
+def link_targets(links: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``links`` with target and state: 'ok', 'not-a-link' if the inode is of another kind, 'missing' if it is not known; the target only of the first."""
+    told = links.join(kinds.select("inode", F.col("type").alias("_t")), "inode", "left")
+    ok = F.coalesce(F.col("_t") == SYMLINK, F.lit(False))
+    return told.withColumn("target", F.when(ok, F.col("target"))).withColumn("state", F.when(F.col("_t").isNull(), "missing").when(ok, "ok").otherwise("not-a-link")).drop("_t")

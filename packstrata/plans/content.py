@@ -113,14 +113,10 @@ def dedup_sidecar(spark: SparkSession, d: str) -> DataFrame:
     return f.join(table(spark, d, "dedup_known").select("identity"), "identity", "left_anti")
 
 
-@R.query("pack_cuts")
-def pack_cuts(spark: SparkSession, d: str) -> DataFrame:
-    """Next-fit packing of each generation's chunks into packs of 2 MiB."""
-    chunks = table(spark, d, "ochunk").where("stored is not null").select("generation", "identity", "stored").distinct()
-    return folds.sequential_parts(chunks, ["generation"], ["identity"], ["identity", "stored"], folds.next_fit(2 << 20))
-
-
-@R.query("read_spans")
+@R.query("read_spans", """with recursive c as (select distinct pack, off, stored from ochunk where pack is not null and off is not null and stored is not null), r as (select *, row_number() over (partition by pack order by off, stored) k from c),
+w(pack, k, part, lo, hi) as (select pack, k, 1, off, off + stored from r where k = 1 union all
+ select r.pack, r.k, case when j then part else part + 1 end, case when j then lo else r.off end, r.off + r.stored from (select r.*, w.part, w.lo, r.off - w.hi between 0 and 1048576 and r.off + r.stored - w.lo <= 8388608 j from w join r on r.pack = w.pack and r.k = w.k + 1) r)
+select w.pack, cast(w.part as bigint) as part, min(r.off) as off, max(r.off + r.stored) as "end", cast(count(*) as bigint) as chunks from w join r on r.pack = w.pack and r.k = w.k group by 1, 2""")
 def read_spans(spark: SparkSession, d: str) -> DataFrame:
     """Ranged reads of every pack's chunks: gaps up to 1 MiB are read over, spans end at 8 MiB."""
     chunks = table(spark, d, "ochunk").where("pack is not null and off is not null and stored is not null").select("pack", "off", "stored").distinct()

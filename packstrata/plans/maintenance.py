@@ -389,7 +389,10 @@ def records_out_of_order(spark: SparkSession, d: str) -> DataFrame:
     return integrity.out_of_order(e, ["pack"], "off", "key").select("pack", "key")
 
 
-@R.query("retired_indexes")
+@R.query("retired_indexes", f"""with recursive {PACK_SQL}, c as (select name, length(name) * 7 % 61 + 24 cost, row_number() over (order by dead, name) k from p where dead is not null),
+w(k, name, used, retired) as (select k, name, case when cost <= 1024 then cost else 0 end, cost <= 1024 from c where k = 1 union all
+ select c.k, c.name, case when used + cost <= 1024 then used + cost else used end, used + cost <= 1024 from w join c on c.k = w.k + 1)
+select name, retired from w""")
 def retired_indexes(spark: SparkSession, d: str) -> DataFrame:
     """Condemned refs in order of age that 1 KiB of ledger takes; one that does not fit is passed over, smaller ones behind it still go."""
     c = packs(spark, d).where("dead is not null").select(F.lit("index").alias("kind"), "dead", "name", (F.length("name") * 7 % 61 + 24).alias("cost"))

@@ -10,9 +10,9 @@ from oracle import differences
 
 import __spark_entry__ as entry
 from packstrata.functions import chunking as C
-from packstrata.plans import content, maintenance, namespace, problems, stores, trees
+from packstrata.plans import content, maintenance, namespace, problems, stores, trees, writing
 
-SETS = [content.R, maintenance.R, namespace.R, stores.R, trees.R]
+SETS = [content.R, maintenance.R, namespace.R, stores.R, trees.R, writing.R]
 NAMED = [(r, n) for r in SETS for n in r.sql]
 
 
