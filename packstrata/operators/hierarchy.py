@@ -146,12 +146,19 @@ class Forest:
         """Edges into shared nodes that lead back to where they start."""
         return self.entries.where("_hs").join(self.reach.select(F.col("x").alias("_c"), F.col("y").alias("_h")), ["_c", "_h"], "left_semi").select("_p", "_name", "_c")
 
+    @cached_property
+    def marks(self) -> DataFrame:
+        """(node, y): the shared nodes y that a sound chain node reaches, and with a null y the nodes whose edge lies on a cycle through shared nodes."""
+        none = F.lit(None).cast(self.entries.schema["_c"].dataType)
+        loops = self.back.select(F.col("_p").alias("node"), none.alias("y"))
+        sound = self.entries.where("_h is not null").join(self.bad.select(F.col("node").alias("_h")), "_h", "left_anti")
+        met = sound.select(F.col("_p").alias("node"), F.col("_c").alias("x")).distinct().join(self.reach, "x").select("node", "y")
+        return self.scratch.keep(self.chains.above(loops.unionByName(met).distinct(), ["y"]))
+
     def on_cycle(self) -> DataFrame:
         """Nodes of one parent whose edge lies on a cycle, each once, and shared nodes at the head of such chains."""
         found = self.chains.open.select(F.col("head").alias("node")).distinct()
-        if not self.n_shared:
-            return found
-        return found.unionByName(self.chains.above(self.back.select(F.col("_p").alias("node")).distinct())).distinct()
+        return found.unionByName(self.marks.where("y is null").select("node")).distinct() if self.n_shared else found
 
     def damaged(self) -> DataFrame:
         """Nodes on or below a cycle."""
@@ -171,9 +178,7 @@ class Forest:
             return own
         own = self.scratch.keep(own)
         total = self.shared.select(F.col("node").alias("y")).join(own.select(F.col("node").alias("y"), F.col("w").alias("_t")), "y")
-        sound = self.entries.where("_h is not null").join(self.bad.select(F.col("node").alias("_h")), "_h", "left_anti")
-        met = sound.select(F.col("_p").alias("node"), F.col("_c").alias("x")).distinct().join(self.reach, "x").select("node", "y").distinct()
-        across = self.chains.above(met, ["y"]).join(total, "y").groupBy("node").agg(F.sum("_t").alias("_more"))
+        across = self.marks.join(total, "y").groupBy("node").agg(F.sum("_t").alias("_more"))
         # a shared node's own chain is among what it reaches
         within = self.reach.join(total, "y").groupBy(F.col("x").alias("node")).agg(F.sum("_t").alias("_all"))
         return own.join(across, "node", "left").join(within, "node", "left").select("node", F.coalesce("_all", F.col("w") + F.coalesce("_more", F.lit(0))).alias("w"))
@@ -188,7 +193,7 @@ class Forest:
         hops = hops.select("node", F.col("head").alias("up"), F.concat("path", "seg").alias("seg"), (F.col("dist") + 1).alias("hop")).join(self.bad, "node", "left_anti")
         lifted = _lift(hops, self.scratch).select(F.col("node").alias("head"), F.col("head").alias("_r"), F.col("hop").alias("_d"), F.col("path").alias("_q"))
         zero = F.lit(0).cast("long")
-        return done.join(lifted, "head", "left").select("node", F.coalesce("_r", "head").alias("root"), (F.col("dist") + F.coalesce("_d", zero)).alias("depth"), F.concat(F.coalesce("_q", F.lit("")), "path").alias("path"))
+        return done.join(self.scratch.keep(lifted), "head", "left").select("node", F.coalesce("_r", "head").alias("root"), (F.col("dist") + F.coalesce("_d", zero)).alias("depth"), F.concat(F.coalesce("_q", F.lit("")), "path").alias("path"))
 
     def ancestors(self, nodes: DataFrame) -> DataFrame:
         """The nodes from which one of ``nodes`` (node) can be reached, and those themselves, damage included."""
@@ -244,7 +249,7 @@ def hierarchy(edges: DataFrame, parent: str = "parent", name: str = "name", chil
     own = edges.schema[parent].dataType
     f = forest(edges, parent, name, child, order, floor)
     below = f.below(f.nodes.select("node", F.col("weight").alias("w")))
-    child_info = below.select(F.col("node").alias("_c"), F.col("w").alias("_below"))
+    child_info = f.scratch.keep(below).select(F.col("node").alias("_c"), F.col("w").alias("_below"))
     above = f.paths().select(F.col("node").alias("_p"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
     loop = F.lit(False)
     if f.chains.n_open or f.n_shared:
