@@ -66,8 +66,7 @@ def _chained(rows: DataFrame, keys: list[str], order: list[str], target: int, ea
         begun = begun.unionByName(starts)
     node = lambda place: F.struct(*keys, F.col(place).alias("place"))
     links = after(placed, target).join(most, keys).select(node("place").alias("node"), F.when(F.col("next") <= F.col("_most"), node("next")).alias("up"), F.lit("").alias("seg"), F.lit(False).alias("shared"))
-    links, n_open = scratch.keep_counted(links, F.col("up").isNotNull().cast("int"))
-    chain = Chains(links, n_open, scratch, None).above(starts.select(node("place").alias("node")))
+    chain = Chains(links, scratch, None).above(starts.select(node("place").alias("node")))
     begun = scratch.keep(begun.unionByName(chain.select("node.*")).distinct().withColumn("_one", F.lit(1)))
     numbered = running_totals(begun.withColumnRenamed("place", "begin"), keys, [F.col("begin")], "_one").select(*keys, F.col("begin").alias("place"), F.col("total").alias("part"))
     at = placed.join(numbered, [*keys, "place"]).select(*keys, F.struct(*order).alias("_from"), "part")

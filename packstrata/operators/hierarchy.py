@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import cached_property, reduce
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,13 @@ def clean_edges(edges: DataFrame, parent: str, name: str, child: str, order: str
     return rows.groupBy(F.col(parent).alias("_p"), F.col(name).cast("binary").alias("_name")).agg(best).select("_p", "_name", F.col(f"_b._o{len(rank) - 1}").alias("_c"))
 
 
+#: Steps along the chains that one plan takes before its result is written.
+STEPS = 3
+_STATE = ["node", "head", "dist", "path", "shared", "done"]
+
+
 class Chains:
-    """Pointer doubling of ``links`` (node, up, seg, shared; up null at terminals), ``n_open`` of which have an up.
+    """Pointer doubling of ``links`` (node, up, seg, shared, and any other columns; up null at terminals).
 
     In round k every open node holds a pointer to its ancestor 2^k above and
     the path text between; it takes over the pointer of that ancestor. Nodes
@@ -35,52 +41,56 @@ class Chains:
     Those go on, without texts, until pointers are longer than any way to a
     cycle: what they point to is then exactly the nodes on cycles.
 
+    ``table``: the links, written; ``n_shared`` of them are shared.
     ``done``: node, head (its terminal), dist, path, shared (of the head).
     ``open``: node, head of nodes on or below cycles, ``n_open`` of them.
     ``jumps``: (node, head) of each round.
     """
 
-    def __init__(self, links: DataFrame, n_open: int, scratch: Scratch, floor: int | None):
-        fresh = links.where("up is not null").select("node", F.col("up").alias("head"), F.lit(1).cast("long").alias("dist"), F.col("seg").alias("path"), F.lit(False).alias("shared"), F.lit(False).alias("done"))
-        pool = [links.where("up is null").select("node", F.col("node").alias("head"), F.lit(0).cast("long").alias("dist"), F.lit("").alias("path"), "shared")]
-        self.jumps: list[DataFrame] = []
-        cyclic = False
+    def __init__(self, links: DataFrame, scratch: Scratch, floor: int | None):
+        self.scratch = scratch
+        top = F.col("up").isNull()
+        state = links.select(
+            "*", F.coalesce("up", "node").alias("head"), F.when(top, 0).otherwise(1).cast("long").alias("dist"), F.when(top, "").otherwise(F.col("seg")).alias("path"), top.alias("done")
+        )
+        self.table, n_open, self.n_shared = scratch.keep_counted(state, F.when(F.col("done"), 0).otherwise(1), F.col("shared").cast("int"))
+        rounds, self.jumps, cyclic = [self.table], [], False
+        fresh = self.table.select(*_STATE).where("not done")
         while n_open:
             self.jumps.append(fresh.select("node", "head"))
             if cyclic and 1 << len(self.jumps) - 1 >= n_open:
                 break
-            ends = fresh.select("node", "head", "dist", "path", "shared", F.lit(False).alias("done"))
-            if cyclic:
-                ends = ends.withColumn("path", F.lit(""))
-            else:
-                ends = reduce(DataFrame.unionByName, [p.withColumn("done", F.lit(True)) for p in pool], ends)
+            ends = fresh if cyclic else fresh.unionByName(scratch.read(*rounds, columns=_STATE).where("done"))
             target = ends.select(F.col("node").alias("head"), F.col("head").alias("_h"), F.col("dist").alias("_d"), F.col("path").alias("_q"), F.col("shared").alias("_s"), F.col("done").alias("_f"))
             moved = skew_join(fresh, target, ["head"], "inner", floor, n_open).select(
                 "node", F.col("_h").alias("head"), (F.col("dist") + F.col("_d")).alias("dist"), F.lit("").alias("path") if cyclic else F.concat("_q", "path").alias("path"), F.col("_s").alias("shared"), F.col("_f").alias("done")
             )
-            # few rows, or many, in files of the size that AQE aims at: each is read in every later round
-            kept, left = scratch.keep_counted(moved.hint("rebalance"), F.when(F.col("done"), 0).otherwise(1))
+            kept, left = scratch.keep_counted(moved, F.when(F.col("done"), 0).otherwise(1))
             fresh = kept.where("not done")
             if not cyclic:
-                pool.append(kept.where("done").drop("done"))
+                rounds.append(kept)
                 cyclic = left == n_open
             n_open = left
-        self.done = reduce(DataFrame.unionByName, pool)
+        self.done = scratch.read(*rounds, columns=_STATE).where("done").drop("done")
         self.open, self.n_open = fresh.select("node", "head"), n_open
 
     def above(self, marks: DataFrame, carry: list[str] = []) -> DataFrame:  # noqa: B006
         """``marks`` (node, carry) and, with the same carry, all nodes above them in their chains, each once."""
-        for jump in self.jumps:
-            both = F.array_compact(F.array("node", "head"))
-            marks = marks.join(jump, "node", "left").select(F.explode(both).alias("node"), *carry).distinct()
-        return marks
+        return self._along(marks, lambda rows: rows.select("node", *carry).distinct())
 
     def below(self, weights: DataFrame) -> DataFrame:
         """``weights`` (node, w) summed over each node and all that hang below it in chains: in round k, what is 2^k below is added."""
-        for jump in self.jumps:
-            both = F.array_compact(F.array("node", "head"))
-            weights = weights.join(jump, "node", "left").select(F.explode(both).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("w"))
-        return weights
+        return self._along(weights, lambda rows: rows.groupBy("node").agg(F.sum("w").alias("w")))
+
+    def _along(self, rows: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Each row also at the node that its node's pointer of round k points to, merged; for all rounds in turn."""
+        columns = [c for c in rows.columns if c != "node"]
+        for k, jump in enumerate(self.jumps, 1):
+            both = F.explode(F.array_compact(F.array("node", "head"))).alias("node")
+            rows = merge(rows.join(jump, "node", "left").select(both, *columns))
+            if k % STEPS == 0 and k < len(self.jumps):
+                rows = self.scratch.keep(rows)
+        return rows
 
 
 class Forest:
@@ -101,10 +111,10 @@ class Forest:
         # in-edges of nodes that have children; all else is a leaf of the edge that names it
         self.into, self.n_into = scratch.keep_counted(skew_join(rows, out.select(F.col("node").alias("_c")), ["_c"], "left_semi", floor, n_rows), F.lit(1))
         degree = self.into.groupBy(F.col("_c").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min(F.struct("_p", "_name")).alias("_e"))
-        one, several = F.col("n_in") == 1, F.col("n_in") > 1
         nodes = out.join(degree, "node", "left").select("node", "weight", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.col("_e._p").alias("_p"), F.col("_e._name").alias("_name"))
-        self.nodes, n_open, self.n_shared = scratch.keep_counted(nodes, one.cast("int"), several.cast("int"))
-        self.chains = Chains(self.nodes.select("node", F.when(one, F.col("_p")).alias("up"), F.when(one, segment()).alias("seg"), several.alias("shared")), n_open, scratch, floor)
+        one = F.col("n_in") == 1
+        self.chains = Chains(nodes.select("*", F.when(one, F.col("_p")).alias("up"), F.when(one, segment()).alias("seg"), (F.col("n_in") > 1).alias("shared")), scratch, floor)
+        self.nodes, self.n_shared = self.chains.table.select("node", "weight", "n_in", "_p", "_name"), self.chains.n_shared
 
     @cached_property
     def shared(self) -> DataFrame:

@@ -40,8 +40,8 @@ def split(edge: DataFrame, nodes: DataFrame, smax: int) -> DataFrame:
     own = scratch.keep(own_weights(edge, nodes).withColumnRenamed("w", "own"))
     damaged = f.damaged()
     sound = f.nodes.join(damaged, "node", "left_anti").select("node", F.col("_p").alias("up"))
-    links, n_open = scratch.keep_counted(sound.select("node", "up", F.lit("").alias("seg"), F.lit(False).alias("shared")), F.col("up").isNotNull().cast("int"))
-    chains = Chains(links, n_open, scratch, None)
+    chains = Chains(sound.select("node", "up", F.lit("").alias("seg"), F.lit(False).alias("shared")), scratch, None)
+    links = chains.table
     weights = chains.below(own.join(links.select("node"), "node").select("node", F.col("own").alias("w")))
     tree = links.select("node", "up").join(own, "node").join(weights, "node").join(chains.done.select("node", "dist"), "node")
     tree = scratch.keep(tree.select(F.col("node").alias("inode"), F.col("up").alias("parent"), "own", F.col("w").alias("weight"), F.col("dist").alias("level")))

@@ -87,6 +87,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def read(self, *tables: DataFrame, columns: list[str]) -> DataFrame:
+        """The named columns of several kept tables as one scan."""
+        schema = tables[0].select(*columns).schema
+        return self.spark.read.schema(schema).parquet(*(t._scratch_path for t in tables))
+
     def keep_counted(self, df: DataFrame, *counts: Column) -> tuple:
         """As ``keep``, with the sum of each of ``counts`` over the rows, taken while they are written; 0 of no rows."""
         seen = Observation()
