@@ -279,31 +279,38 @@ for _cp in range(0x41, 0x20000):
 _CODES, _BASE = np.unique(_BASE, return_inverse=True)
 _BASE = np.append(_BASE, 0)  # what lies beyond
 _LETTERS = len(_CODES)
-#: Pairs are counted up to here before they are added up: a bound on what a task holds.
+#: Pairs are held up to this number before they are added up: a bound on what a task holds.
 _PENDING = 1 << 22
+#: Letters below this place, those of ASCII among them, are counted in a table of their own.
+_COMMON = 64
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(first, second, n) of letter pairs, added up over several batches at a time."""
-    pending, size = [], 0
+    common, pending, size = np.zeros(_COMMON * _COMMON, np.int64), [], 0
 
-    def added() -> pa.RecordBatch:
-        pair, n = np.unique(np.concatenate(pending), return_counts=True)
-        keep = pair % _LETTERS > 0
-        a, b = _CODES[pair[keep] // _LETTERS], _CODES[pair[keep] % _LETTERS]
+    def told(pair: np.ndarray, n: np.ndarray, width: int) -> pa.RecordBatch:
+        keep = (pair % width > 0) & (n > 0)
+        a, b = _CODES[pair[keep] // width], _CODES[pair[keep] % width]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n[keep])], names=["a", "b", "n"])
 
     for batch in slices(batches, 0):
-        for text in batch.column(0).to_pylist():
-            if text:
-                codes = _BASE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x20000)].astype(np.int32)
-                pending.append(np.concatenate([[0], codes[:-1]]).astype(np.int32) * np.int32(_LETTERS) + codes)
-                size += len(codes)
-                if size > _PENDING:
-                    yield added()
-                    pending, size = [], 0
-    if pending:
-        yield added()
+        text = "\n".join(t for t in batch.column(0).to_pylist() if t)
+        codes = _BASE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x20000)].astype(np.int32)
+        if not len(codes):
+            continue
+        before = np.concatenate([np.zeros(1, np.int32), codes[:-1]])
+        rare = (before >= _COMMON) | (codes >= _COMMON)
+        common += np.bincount((before * _COMMON + codes)[~rare], minlength=_COMMON * _COMMON)
+        pending.append(before[rare] * np.int32(_LETTERS) + codes[rare])
+        size += len(pending[-1])
+        if size > _PENDING:
+            yield told(*np.unique(np.concatenate(pending), return_counts=True), _LETTERS)
+            pending, size = [], 0
+    if size:
+        yield told(*np.unique(np.concatenate(pending), return_counts=True), _LETTERS)
+    if common.any():
+        yield told(np.arange(len(common)), common, _COMMON)
 
 
 def ngram_counts(documents: DataFrame, text: str = "text") -> Ngrams:

@@ -28,8 +28,8 @@ _HITS = pa.schema([pa.field("_batch", pa.int64()), pa.field("_key", pa.binary())
 
 @dataclass
 class Probed:
-    """``rows`` (_key, _order, _batch), n of them; ``firsts``: _batch, _key and the least order, _first, of each
-    key of a batch, with the known keys as batch -1; ``hits``: those (_batch, _key) that a sealed filter claims to know."""
+    """``rows`` (_key, _order, _batch), n of them; ``firsts``: _batch, _key, the least order, _first, and the rows, _rows, of
+    each key of a batch, with the known keys as batch -1; ``hits``: those (_batch, _key) that a sealed filter claims to know."""
 
     rows: DataFrame
     n: int
@@ -102,9 +102,9 @@ def probe_batches(rows: DataFrame, key: str, order: str, known: DataFrame | None
     # cut points are collected: every use cuts alike
     cuts = sorted(set((grid or [])[step - 1 :: step])) if most > 1 else []
     rows = rows.withColumn("_cuts", F.array(*(F.lit(c).cast("long") for c in cuts)).cast("array<long>")).withColumn("_batch", tile_of(F.col("_order"), "_cuts", len(cuts) + 1).cast("long")).drop("_cuts")
-    firsts = rows.groupBy("_batch", "_key").agg(F.min("_order").alias("_first"))
+    firsts = rows.groupBy("_batch", "_key").agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     if known is not None:
-        before = known.select(F.lit(-1).cast("long").alias("_batch"), F.col(key).cast("binary").alias("_key"), F.lit(None).cast("long").alias("_first")).where("_key is not null").distinct()
+        before = known.select(F.lit(-1).cast("long").alias("_batch"), F.col(key).cast("binary").alias("_key"), F.lit(None).cast("long").alias("_first"), F.lit(1).cast("long").alias("_rows")).where("_key is not null").distinct()
         firsts = firsts.unionByName(before)
     firsts = scratch.keep(firsts)
     shards = max(1, -(-n // shard_keys))
@@ -124,13 +124,13 @@ def seen_before(rows: DataFrame, key: str, order: str, known: DataFrame | None =
 
     A key of a batch that no sealed filter claims is new there. Claims are
     confirmed against the first batch of the claimed keys, so only their few
-    wrong ones are undone; nothing is ever missed. Rows then take the verdict
-    on their key and batch, and else are repeats if they are above its least
-    order.
+    wrong ones are undone; nothing is ever missed. Rows of a key that is
+    confirmed or comes several times in its batch are then looked at: all of
+    them are repeats, or those above the least order.
     """
     p = probe_batches(rows, key, order, known, **options)
     sure = p.hits.join(_born(p), "_key").where("_born < _batch").select("_batch", "_key", F.lit(True).alias("_seen"))
-    verdict = p.firsts.where("_batch >= 0").join(sure, ["_batch", "_key"], "left")
+    verdict = p.firsts.where("_batch >= 0 and _rows > 1").select("_batch", "_key", "_first").join(sure, ["_batch", "_key"], "full")
     told = skew_join(p.rows, verdict, ["_batch", "_key"], "inner", floor, p.n)
     return told.where(F.coalesce("_seen", F.lit(False)) | (F.col("_order") > F.col("_first"))).select(F.col("_order").alias(order))
 
