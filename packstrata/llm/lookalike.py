@@ -206,13 +206,13 @@ class Former:
     def __init__(self, ngrams: Ngrams, options: Options | None = None):
         self.ngrams, self.options = ngrams, lattice_of({}) if options is None else options
         self.known: dict[tuple[str, str], str] = {}
-        self.odd = re.compile("[" + "".join(c for c in self.options if script_of(c) != "latin" or c in TWINS) + "]")
+        self.odd = frozenset(c for c in self.options if script_of(c) != "latin" or c in TWINS)
         self.latin = re.compile(f"[{''.join(chr(c) for c in range(0x41, 0x250) if script_of(chr(c)) == 'latin' and chr(c) not in _SHARED)}]")
 
     def form(self, text: str) -> str:
         bones = folded(text)
         # in a Latin text without letters of other scripts every lattice is one path
-        if not ((text.isascii() or not self.odd.search(bones)) and self.latin.search(bones)):
+        if not ((text.isascii() or self.odd.isdisjoint(set(bones))) and self.latin.search(bones)):
             script = self._script(bones)
             bones = _TOKEN.sub(lambda m: self._token(m.group(), script), bones)
         return bones if bones.isascii() else unicodedata.normalize("NFC", bones)
