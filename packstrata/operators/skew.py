@@ -38,15 +38,17 @@ def _counted(df: DataFrame, keys: list[str], floor: int) -> list:
     return df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > floor).collect()
 
 
-def hot_keys(df: DataFrame, keys: list[str], floor: int | None = None, rows: int | None = None) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: list[str], floor: int | None = None, rows: int | None = None, counted: DataFrame | None = None) -> DataFrame | None:
     """The keys of more than ``floor`` rows as a local DataFrame; None if there are none.
 
     Null keys are never hot: they match nothing and are not grouped by callers.
-    ``rows``, if known, is the size of ``df``.
+    ``rows``, if known, is the size of ``df``; ``counted``, if there is such a
+    table, has its keys with their rows, _n.
     """
     if rows is not None and rows <= (HOT_FLOOR if floor is None else floor):
         return None
-    found = _counted(df, keys, hot_floor(df, rows) if floor is None else floor)
+    floor = hot_floor(df, rows) if floor is None else floor
+    found = _counted(df, keys, floor) if counted is None else counted.where(F.col("_n") > floor).select(*keys, "_n").collect()
     if not found:
         return None
     return df.sparkSession.createDataFrame([tuple(r)[:-1] for r in found], T.StructType([df.schema[k] for k in keys]))
@@ -61,14 +63,14 @@ def listed_join(df: DataFrame, few: DataFrame, size: int, keys: list[str], how:
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", floor: int | None = None, rows: int | None = None) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", floor: int | None = None, rows: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Join ``left`` with ``right``, whose ``keys`` are unique, whatever the skew of ``left``.
 
     Rows of the hot keys meet the few rows of ``right`` that have them; all
     others take the ordinary shuffled join. ``how`` is inner, left, left_semi
-    or left_anti. ``rows``, if known, is the size of ``left``.
+    or left_anti. ``rows`` and ``counted`` are as for ``hot_keys``, of ``left``.
     """
-    hot = hot_keys(left, keys, floor, rows)
+    hot = hot_keys(left, keys, floor, rows, counted)
     if hot is None:
         return left.join(right, keys, how)
     size = hot.count()
