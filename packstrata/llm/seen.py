@@ -131,7 +131,7 @@ def seen_before(rows: DataFrame, key: str, order: str, known: DataFrame | None =
     p = probe_batches(rows, key, order, known, **options)
     sure = p.hits.join(_born(p), "_key").where("_born < _batch").select("_batch", "_key", F.lit(True).alias("_seen"))
     verdict = p.firsts.where("_batch >= 0 and _rows > 1").select("_batch", "_key", "_first").join(sure, ["_batch", "_key"], "full")
-    told = skew_join(p.rows, verdict, ["_batch", "_key"], "inner", floor, p.n)
+    told = skew_join(p.rows, verdict, ["_batch", "_key"], "inner", floor, p.n, p.firsts.where("_batch >= 0").withColumnRenamed("_rows", "_n"))
     return told.where(F.coalesce("_seen", F.lit(False)) | (F.col("_order") > F.col("_first"))).select(F.col("_order").alias(order))
 
 
