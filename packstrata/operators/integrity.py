@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packstrata.functions.scalar import DIRECTORY, hex_of, is_hash_name, parse_hex
 from packstrata.operators.hierarchy import hierarchy
+from packstrata.session import Scratch
 
 
 def _found(df: DataFrame, kind: str, subject: Column) -> DataFrame:
@@ -54,11 +55,12 @@ def check(edge: DataFrame, nested: DataFrame, head: DataFrame, pack: DataFrame,
     Null references refer to nothing. Every kind is an anti-join or an
     aggregation on keys; there is no pairwise comparison.
     """
+    keep = Scratch(edge.sparkSession).keep  # what several kinds read is made distinct once
     names = pack.select(F.col("name").alias("pack")).distinct()
-    placed = pack_entry.select("pack", "key", "off", "length", "type").distinct()
+    placed = keep(pack_entry.select("pack", "key", "off", "length", "type").distinct())
     keys = placed.select("key").distinct()
-    chunks = ochunk.select("identity", "pack", "off", "stored", "logical").distinct()
-    entry = edge.select("parent", "name", "inode", "type").distinct()
+    chunks = keep(ochunk.select("identity", "pack", "off", "stored", "logical").distinct())
+    entry = keep(edge.select("parent", "name", "inode", "type").distinct())
     nodes = head.select("inode", F.col("type").alias("_t")).distinct()
     catalogs = placed.where("type = 'catalog'").select(F.col("key").alias("catalog_identity")).distinct()
     where = nested.select("parent", "name", "catalog_identity").distinct()
