@@ -283,6 +283,21 @@ def hierarchy(edges: DataFrame, parent: str = "parent", name: str = "name", chil
     )
 
 
+def tree_paths(edges: DataFrame, parent: str = "parent", name: str = "name", child: str = "inode", order: str | None = None, floor: int | None = None) -> DataFrame:
+    """parent and path of the edges that ``hierarchy`` calls tree, with none of its sums and states.
+
+    An edge is on or below a cycle exactly if its parent has no path, so this
+    takes the chains and their paths only. Runs jobs while it is called.
+    """
+    f = forest(edges, parent, name, child, order, floor)
+    above = f.paths().select(F.col("node").alias("_p"), F.col("path").alias("_path"))
+    # as in ``hierarchy``: the right side may be read twice
+    if f.n_rows > (HOT_FLOOR if floor is None else floor):
+        above = f.scratch.keep(above)
+    told = skew_join(f.rows.select("_p", "_name"), above, ["_p"], "inner", floor, f.n_rows)
+    return told.select(F.col("_p").cast(edges.schema[parent].dataType).alias(parent), F.concat("_path", segment()).alias("path"))
+
+
 def _tree(value: Column, otherwise, kind: str) -> Column:  # noqa: ANN001
     return F.when(F.col("state") == "tree", value).otherwise(F.lit(otherwise).cast(kind)).cast(kind)
 

@@ -47,18 +47,36 @@ def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: list[str
     return all_.select(*key, outcome.alias("outcome"), conflict.alias("conflict"), taken.alias("taken"))
 
 
+def _folder(path: str) -> Column:
+    """The path of the folder that holds ``path``, null if none does."""
+    return F.when(F.contains(F.col(path), F.lit("/")), F.left(F.col(path), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1))
+
+
+def _folders_below(decided: DataFrame, path: str) -> DataFrame:
+    """Folders (_dir) that are a change of type or below one.
+
+    Only folders are spread over those above them, each as a pair of hashes:
+    texts of all that lies above every path would be many times the tree. A
+    pair of hashes that meets a change of type is then confirmed by the texts.
+    Runs a job.
+    """
+    cut = decided.where("conflict = 'type-change'").select(F.xxhash64(path).alias("_k"), F.col(path).alias("_cut"))
+    folders = Scratch(decided.sparkSession).keep(decided.select(_folder(path).alias("_dir")).dropna().distinct().withColumn("_h", F.xxhash64("_dir")))
+    parts = F.split("_dir", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.xxhash64(F.concat_ws("/", F.slice(parts, 1, n))))
+    met = folders.select("_h", F.explode(above).alias("_k")).join(cut, "_k").select("_h", "_cut")
+    both = folders.join(met, "_h").where((F.col("_dir") == F.col("_cut")) | F.startswith("_dir", F.concat("_cut", F.lit("/"))))
+    return both.select("_dir").distinct()
+
+
 def below_conflicts(decided: DataFrame, path: str) -> DataFrame:
-    """Paths at or below a change of type: a walk does not go there, so their decisions do not count."""
-    cut = decided.where("conflict = 'type-change'").select(F.col(path).alias("_root"))
-    parts = F.split(F.col(path), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat_ws("/", F.slice(parts, 1, n)))
-    spread = decided.where(F.size(parts) > 1).select(path, F.explode(prefixes).alias("_root"))
-    return spread.join(cut, "_root", "left_semi").select(path).distinct()
+    """Paths below a change of type: a walk does not go there, so their decisions do not count."""
+    return decided.select(path, _folder(path).alias("_dir")).join(_folders_below(decided, path), "_dir", "left_semi").select(path).distinct()
 
 
 def walked(decided: DataFrame, path: str) -> DataFrame:
     """The decisions that a walk from the root comes to: none below a change of type."""
-    return decided.join(below_conflicts(decided, path), path, "left_anti")
+    return decided.withColumn("_dir", _folder(path)).join(_folders_below(decided, path), "_dir", "left_anti").select(*decided.columns)
 
 
 def merged(base: DataFrame, ours: DataFrame, theirs: DataFrame, path: str, kind: str, content: list[str], inode: str, directory: int = DIRECTORY, branch: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packstrata.operators.hierarchy import hierarchy
+from packstrata.operators.hierarchy import tree_paths
 from packstrata.plans.problems import R as PROBLEMS
 from packstrata.session import Scratch
 from packstrata.sources.tables import table
@@ -58,9 +58,9 @@ theirs as (select path, parent, case when type = 2 and starts_with(sha256(path),
 
 def placed_entries(spark: SparkSession, d: str) -> DataFrame:
     """Sound entries with their path: path, parent, name, inode, type, generation. Runs jobs."""
-    edge = table(spark, d, "edge").distinct()
-    found = hierarchy(edge, order="generation").where("state = 'tree'").select("parent", F.element_at(F.split("path", "/"), -1).cast("binary").alias("name"), "path")
-    return Scratch(spark).keep(edge.join(found, ["parent", "name"]).select("path", "parent", "name", "inode", "type", "generation"))
+    edge = table(spark, d, "edge")
+    found = tree_paths(edge, order="generation").select("parent", F.element_at(F.split("path", "/"), -1).cast("binary").alias("name"), "path")
+    return Scratch(spark).keep(edge.distinct().join(found, ["parent", "name"]).select("path", "parent", "name", "inode", "type", "generation"))
 
 
 def branches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
