@@ -79,6 +79,12 @@ def walked(decided: DataFrame, path: str) -> DataFrame:
     return decided.withColumn("_dir", _folder(path)).join(_folders_below(decided, path), "_dir", "left_anti").select(*decided.columns)
 
 
+def walked_counts(decided: DataFrame, path: str) -> DataFrame:
+    """outcome, conflict and n: how many decisions a walk comes to. Summed by folder first, so that no path is moved."""
+    per = decided.groupBy(_folder(path).alias("_dir"), "outcome", "conflict").agg(F.count(F.lit(1)).alias("_n"))
+    return per.join(_folders_below(decided, path), "_dir", "left_anti").groupBy("outcome", "conflict").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+
+
 def merged(base: DataFrame, ours: DataFrame, theirs: DataFrame, path: str, kind: str, content: list[str], inode: str, directory: int = DIRECTORY, branch: str | None = None) -> DataFrame:
     """The rows of the merged tree: path, kind, content, inode, origin.
 

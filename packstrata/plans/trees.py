@@ -88,17 +88,21 @@ from base b full join ours o on o.path = b.path full join theirs t on t.path = c
 cut as (select path from x where v = 'conflict:type-change'), w as (select *, exists (select 1 from cut where starts_with(x.path, cut.path || '/')) below from x)"""
 
 
+def _decided(spark: SparkSession, d: str) -> DataFrame:
+    """What is decided of every path of three trees, written. Runs jobs."""
+    return Scratch(spark).keep(M.three_way(*branches(spark, d), ["path"], "kind", ["len", "body"]))
+
+
 @R.query("merge_plan", f"""with {ALL_SQL} select path, split_part(v, ':', 1) as outcome, nullif(split_part(v, ':', 2), '') as conflict,
 case split_part(v, ':', 1) when 'take-ours' then 'ours' when 'take-theirs' then 'theirs' when 'drop' then case when has_ours then 'theirs' else 'ours' end end as taken from w where not below""")
 def merge_plan(spark: SparkSession, d: str) -> DataFrame:
     """What is decided of every path of three trees; nothing is, below a change of type."""
-    plan = Scratch(spark).keep(M.three_way(*branches(spark, d), ["path"], "kind", ["len", "body"]))
-    return M.walked(plan, "path")
+    return M.walked(_decided(spark, d), "path")
 
 
 @R.query("merge_counts", f"""with {ALL_SQL} select v as verdict, cast(count(*) as bigint) as n from w where not below group by 1""")
 def merge_counts(spark: SparkSession, d: str) -> DataFrame:
-    return merge_plan(spark, d).groupBy(F.concat_ws(":", "outcome", "conflict").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    return M.walked_counts(_decided(spark, d), "path").select(F.concat_ws(":", "outcome", "conflict").alias("verdict"), "n")
 
 
 STEM = "regexp_extract(split_part(path, '/', -1), '^(.+)(\\.[^.]*)$', {}, 's')"

@@ -111,6 +111,18 @@ def test_paths_below_a_change_of_type_are_not_spread(spark):
     assert not re.search(r"explode\(transform\(sequence[^\n]*lambdafunction\(concat_ws", got._jdf.queryExecution().optimizedPlan().toString())
 
 
+def test_walked_counts_move_no_path(spark):
+    """A count a folder and verdict leaves its task, whatever the files; paths of no folder and below a cut count as in the walk."""
+    rows = [("cut", "conflict", "type-change"), ("top", "same", None), ("cut/x", "same", None), ("cut/d/y", "drop", None), *((f"ok/f{i}", "same" if i % 3 else "drop", None) for i in range(3000))]
+    df = spark.createDataFrame(rows, "path string, outcome string, conflict string").coalesce(1)
+    got = M.walked_counts(df, "path")
+    want = M.walked(df, "path").groupBy("outcome", "conflict").agg(F.count(F.lit(1)).alias("n"))
+    assert {tuple(x) for x in got.collect()} == {tuple(x) for x in want.collect()} == {("conflict", "type-change", 1), ("same", None, 2001), ("drop", None, 1000)}
+    # the anti join meets folders with counts
+    joined = re.search(r"Join LeftAnti[^\n]*\n[^\n]*Aggregate", got._jdf.queryExecution().optimizedPlan().toString())
+    assert joined, got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_tree_paths_are_those_of_the_hierarchy(spark):
     """Sound entries with chains, shared folders, cycles, what is below them, repeated and null rows; in far fewer jobs."""
     edges = [(1, "a", 2, 1), (2, "b", 3, 1), (1, "s", 3, 2), (3, "c", 4, 1), (4, "f", 5, 1), (4, "f", 6, 2), (4, "f", 6, 2), (9, "x", 10, 1), (10, "y", 9, 1), (10, "z", 11, 1), (11, "g", 12, 1), (1, "into", 9, 1), (20, "p/q", 21, 1), (21, "", None, 1), (None, "n", 2, 1), (1, None, 2, 1)]
