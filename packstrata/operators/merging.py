@@ -64,7 +64,8 @@ def _folders_below(decided: DataFrame, path: str) -> DataFrame:
     folders = Scratch(decided.sparkSession).keep(decided.select(_folder(path).alias("_dir")).dropna().distinct().withColumn("_h", F.xxhash64("_dir")))
     parts = F.split("_dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.xxhash64(F.concat_ws("/", F.slice(parts, 1, n))))
-    met = folders.select("_h", F.explode(above).alias("_k")).join(cut, "_k").select("_h", "_cut")
+    # what is spread is estimated by the folders' file, so without the hint it would be broadcast
+    met = folders.select("_h", F.explode(above).alias("_k")).hint("merge").join(cut, "_k").select("_h", "_cut")
     both = folders.join(met, "_h").where((F.col("_dir") == F.col("_cut")) | F.startswith("_dir", F.concat("_cut", F.lit("/"))))
     return both.select("_dir").distinct()
 
